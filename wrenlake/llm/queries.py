@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.llm import knn
+from wrenlake.llm import knn, residue, truncation
 from wrenlake.session import read_table
 
 
@@ -14,8 +14,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.similar_pairs(read_table(spark, sf_dir, "resume_chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = residue.found(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
+    return out.select("source_table", "scrape_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.shares(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found,)}
+    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
