@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.llm import knn, residue, truncation
+from wrenlake.llm import boilerplate, knn, residue, truncation
 from wrenlake.session import read_table
 
 
@@ -19,6 +19,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_table", "scrape_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.found(read_table(spark, sf_dir, "scraped_ats_jobs"), read_table(spark, sf_dir, "jobs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.found(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
 
@@ -28,7 +32,7 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_shares)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
