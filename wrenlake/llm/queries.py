@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.llm import boilerplate, knn, residue, truncation
+from wrenlake.llm import boilerplate, knn, names, residue, truncation
 from wrenlake.session import read_table
 
 
@@ -14,6 +14,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.similar_pairs(read_table(spark, sf_dir, "resume_chunks"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(*[read_table(spark, sf_dir, t).select("company") for t in ("contacts", "jobs")])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = residue.found(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
     return out.select("source_table", "scrape_id")
@@ -32,7 +36,7 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
