@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.llm import boilerplate, knn, names, residue, truncation
+from wrenlake.llm import boilerplate, knn, leakage, names, residue, segment, truncation
 from wrenlake.session import read_table
 
 
@@ -35,8 +35,16 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.shares(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.found(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares, p6_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
