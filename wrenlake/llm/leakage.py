@@ -71,54 +71,86 @@ class Index:
         self.block_max = self.impact.reshape(len(self.vocab) + 1, blocks, BLOCK).max(axis=2)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(len(self.vocab) + 1, "f4")
         self.ids = [[self.vocab[t] for t in w] for w in self.words]
-        self.grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in self.ids]
+        base = len(self.vocab) + 1
+        self.grams: dict[int, list[int]] = {}  # three words in a row -> sentences
+        for d, w in enumerate(self.ids):
+            for g in {(w[i] * base + w[i + 1]) * base + w[i + 2] for i in range(len(w) - 2)}:
+                self.grams.setdefault(g, []).append(d)
 
     def candidates(self, ids: np.ndarray, threshold: float) -> dict[int, list[int]]:
-        """{sentence: [passage start, ...]} of all passages that score ``threshold`` or more."""
-        out: dict[int, list[int]] = {}
+        """{sentence: [passage start, ...]} of all passages that score ``threshold`` or more.
+
+        The bounds of all passages come from running sums: by term first, then by block; only blocks in
+        which some passage can reach the threshold are scored.
+        """
         n = len(ids)
-        if n == 0:
-            return out
         starts = np.arange(0, max(1, n - STRIDE), STRIDE)
-        known = self.term_max[ids]
-        total = np.r_[0, np.cumsum(known)]
-        bound = total[np.minimum(starts + PASSAGE, n)] - total[starts]
-        for s in starts[bound >= threshold]:
-            terms = np.unique(ids[s : s + PASSAGE])
-            by_block = self.block_max[terms].sum(axis=0)
-            for b in np.flatnonzero(by_block >= threshold):
-                score = self.impact[terms, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-                for d in np.flatnonzero(score >= threshold):
-                    out.setdefault(int(b * BLOCK + d), []).append(int(s))
+        ends = np.minimum(starts + PASSAGE, n)
+
+        def sums(rows: np.ndarray) -> np.ndarray:
+            total = np.zeros((n + 1, rows.shape[1]))
+            np.cumsum(rows, axis=0, out=total[1:])
+            return total[ends] - total[starts]
+
+        slack = threshold - 1e-3  # running sums round differently
+        if n == 0 or not (sums(self.term_max[ids, None]) >= slack).any():
+            return {}
+        active = np.flatnonzero((sums(self.block_max[ids]) >= slack).any(axis=0))
+        if len(active) == 0:
+            return {}
+        columns = (active[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        at, d = np.nonzero(sums(self.impact[ids][:, columns]) >= threshold)
+        out: dict[int, list[int]] = {}
+        for s, c in zip(starts[at].tolist(), columns[d].tolist()):
+            out.setdefault(c, []).append(s)
         return out
 
     def leaks(self, ids: np.ndarray, threshold: float, run: int, kept: float) -> set[int]:
-        """Item ids of which the text holds a sentence or a run of words."""
+        """Item ids of which the text holds a sentence or a run of words.
+
+        Items written after one pattern resemble each other: where reworded sentences claim the same
+        stretch of text, those that fit it clearly worse than the best are no leak.
+        """
         found: set[int] = set()
-        for d, at in self.candidates(ids, threshold).items():
+        claims: list[tuple[int, int, int, float]] = []
+        candidates = self.candidates(ids, threshold)
+        if not candidates:
+            return found
+        base = len(self.vocab) + 1
+        shared: dict[int, list[int]] = {}
+        for i, g in enumerate(((ids[:-2] * base + ids[1:-1]) * base + ids[2:]).tolist()):
+            for d in self.grams.get(g, ()):
+                shared.setdefault(d, []).append(i)
+        for d, at in candidates.items():
             item = int(self.items[d])
-            if item in found:
+            if item in found or len(shared.get(d, ())) < 3:
                 continue
             for lo, hi in _spans(at, len(self.words[d]), len(ids)):
-                if self._holds(d, ids[lo:hi].tolist(), run, kept):
+                if sum(lo <= i < hi - 2 for i in shared[d]) < 3:
+                    continue
+                text = ids[lo:hi].tolist()
+                if _longest_run(text, self.ids[d], self.words[d]) >= run:
                     found.add(item)
-                    break
+                    # the best fit of a stretch may be a run
+                if weight(self.words[d]) >= 8:
+                    fit, start, end = self._fit(d, text)
+                    if fit >= kept:
+                        claims.append((item, lo + start, lo + end, fit))
+        for item, lo, hi, fit in claims:
+            rivals = (f for i, a, b, f in claims if i != item and min(hi, b) - max(lo, a) > 0.5 * (hi - lo))
+            if fit >= max(rivals, default=0.0) - 0.06:
+                found.add(item)
         return found
 
-    def _holds(self, d: int, text: list[int], run: int, kept: float) -> bool:
-        words, ids = self.words[d], self.ids[d]
-        shared = sum(1 for i in range(len(text) - 2) if (text[i], text[i + 1], text[i + 2]) in self.grams[d])
-        if shared < 3:
-            return False
-        if _longest_run(text, ids, words) >= run:
-            return True
-        if weight(words) < 8:
-            return False
-        n = len(ids)
+    def _fit(self, d: int, text: list[int]) -> tuple[float, int, int]:
+        """The largest share of the sentence's words that a window of the text keeps in order."""
+        n = len(self.ids[d])
         size, step = round(1.25 * n) + 2, max(1, n // 8)
-        need = kept * n
-        bits = _bits(ids)
-        return any(_common(bits, n, text[i : i + size]) >= need for i in range(0, max(1, len(text) - size + step), step))
+        bits = _bits(self.ids[d])
+        best = (0.0, 0, 0)
+        for i in range(0, max(1, len(text) - size + step), step):
+            best = max(best, (_common(bits, n, text[i : i + size]) / n, i, min(len(text), i + size)))
+        return best
 
 
 def _spans(starts: list[int], length: int, n: int) -> list[tuple[int, int]]:
@@ -169,7 +201,7 @@ def _common(bits: dict[int, int], n: int, text: list[int]) -> int:
 
 
 def leaked(
-    documents: DataFrame, items: DataFrame, threshold: float = 12.0, run: int = 12, kept: float = 0.78, shard_chars: int = 4_000_000
+    documents: DataFrame, items: DataFrame, threshold: float = 18.0, run: int = 12, kept: float = 0.78, shard_chars: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, item_id): documents that hold an item, one of its sentences or ``run`` words in a row from it.
 

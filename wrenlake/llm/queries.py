@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.llm import boilerplate, knn, leakage, names, residue, segment, truncation
+from wrenlake.llm import boilerplate, knn, leakage, mixture, names, residue, segment, truncation
 from wrenlake.session import read_table
 
 
@@ -39,12 +39,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.found(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares, p6_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares, p6_found, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
