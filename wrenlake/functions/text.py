@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s"
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def utrim(c: Column) -> Column:
     """Trim any Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -36,16 +41,23 @@ def numbers_in(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of an array of words, joined by blanks; none where there are fewer than n words."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, n))),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(
+        words,
+        lambda ws: F.when(
+            F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(ws, i, n)))
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Size of the intersection by size of the union; 0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    return let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda p: let(
+            F.size(F.array_union(p["a"], p["b"])),
+            lambda n: F.when(n > 0, F.size(F.array_intersect(p["a"], p["b"])) / n).otherwise(F.lit(0.0)),
+        ),
+    )
 
 
 def char_trigrams(c: Column) -> Column:
@@ -53,8 +65,10 @@ def char_trigrams(c: Column) -> Column:
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
     def of_word(w: Column) -> Column:
-        padded = F.concat(F.lit("  "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3))
+        return let(
+            F.concat(F.lit("  "), w, F.lit(" ")),
+            lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3)),
+        )
 
     return F.array_distinct(F.flatten(F.transform(words, of_word)))
 
