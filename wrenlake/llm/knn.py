@@ -490,3 +490,68 @@ def _tails(df: DataFrame, heads: DataFrame, full: DataFrame, k: int, id_col: str
     rest = made.select("id", F.xxhash64("model", "q").alias("nid")).join(full, "nid").where(F.col("id") > F.col("last"))
     first = heads.where(F.col("rn") <= k).select("nid", F.col("id").alias("id_lo")).join(full.select("nid"), "nid", "left_semi")
     return rest.join(first, "nid").select("id_lo", F.col("id").alias("id_hi"))
+
+
+# ---------------------------------------------------------------- search
+
+
+def search(
+    queries: DataFrame,
+    df: DataFrame,
+    heads: DataFrame,
+    graph: DataFrame,
+    k: int = 5,
+    id_col: str = "id",
+    model_col: str = "embedding_model",
+    vec_col: str = "embedding",
+    width: int = 64,
+    sample: int = 24_000,
+    leaf: int = 64,
+    trees: int = TREES,
+    beam: int = 8,
+    starts: int = 8,
+    hops: int = 6,
+) -> DataFrame:
+    """(query, id, sim): greedy search of the graph of ``df`` for vectors that need not be in it.
+
+    A query starts at ``starts`` nodes of its own cells, then goes on from its best ``beam`` nodes to their
+    neighbours, all queries together in one join a hop, until no query's best nodes change or ``hops`` are
+    made. Of copies the smallest ids come first. Unusable queries have no rows.
+    """
+    rows = _rows(df, id_col, model_col, vec_col, width)
+    models, x = sample_vectors(rows, width, sample)
+    forest = build_forest(models, x, trees, leaf)
+    q = graph_nodes(_rows(queries, id_col, model_col, vec_col, width), forest, width, 1 << 30)
+    first = q.where(F.col("rn") == 1).select(F.col("nid").alias("qn"), "mid", F.col("pack").alias("qp"), F.col("q").alias("qq"))
+    first = cut(first, "knn-queries")
+    nodes = heads.where(F.col("rn") == 1).select("nid", "mid", "pack", "q")
+    mask = (1 << LEAF_BITS) - 1
+    cell = lambda p: F.explode(F.array(*[F.hash("mid", F.lit(t), F.shiftright(p, LEAF_BITS * t).bitwiseAND(F.lit(mask))) for t in range(trees)]))
+    by_cell = W.partitionBy("cell").orderBy("nid")
+    entries = nodes.select("nid", cell("pack").alias("cell")).withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= starts).select("nid", "cell")
+    seen = first.select("qn", cell("qp").alias("cell")).join(entries, "cell").select("qn", "nid").distinct()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.einsum("ij,ij->i", from_blobs(b.column("qq"), width), from_blobs(b.column("q"), width)).astype("f8")
+            yield pa.RecordBatch.from_arrays([b.column("qn"), b.column("nid"), pa.array(s)], ["qn", "nid", "sim"])
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(first.select("qn", "qq"), "qn").join(nodes.select("nid", "q"), "nid").select("qn", "nid", "qq", "q").mapInArrow(score, "qn long, nid long, sim double")
+
+    keep = max(beam, k)
+    best = W.partitionBy("qn").orderBy(F.desc("sim"), "nid")
+    edges = edges_of(graph).select(F.col("u").alias("nid"), "v")
+    front = cut(scored(seen).withColumn("p", F.row_number().over(best)).where(F.col("p") <= keep).select("qn", "nid", "sim", F.lit(True).alias("fresh")), "knn-front")
+    for _ in range(hops):
+        reached = front.where("fresh").join(edges, "nid").select("qn", F.col("v").alias("nid")).distinct().join(front.select("qn", "nid"), ["qn", "nid"], "left_anti")
+        both = front.withColumn("fresh", F.lit(False)).unionByName(scored(reached).withColumn("fresh", F.lit(True)))
+        new = cut(both.withColumn("p", F.row_number().over(best)).where(F.col("p") <= keep).drop("p"), "knn-front")
+        drop(front)
+        front = new
+        if front.where("fresh").isEmpty():
+            break
+    hits = front.join(heads.select("nid", "id", "rn"), "nid").where(F.col("rn") <= k)
+    order = W.partitionBy("qn").orderBy(F.desc(F.round("sim", 6)), "id")
+    hits = hits.withColumn("p", F.row_number().over(order)).where(F.col("p") <= k).select("qn", "id", "sim")
+    return q.select(F.col("nid").alias("qn"), F.col("id").alias("query")).join(hits, "qn").select("query", "id", "sim")

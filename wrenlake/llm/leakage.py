@@ -3,8 +3,8 @@
 Plan: the test items' sentences form an inverted index (term -> impact by sentence, with the largest
 impact of each term in each block of sentences). The index is small beside the corpus; its size is
 checked, and items beyond ``shard_chars`` characters make further shards, each one more pass. Every
-document is cut into overlapping passages, every passage is a query. Passages whose terms' bounds stay
-under the threshold are dropped, then blocks whose bounds do; only the rest is scored. All sentences above
+document is cut into overlapping passages, every passage is a query. A sentence's threshold follows from the
+lowest score of twelve words in a row from it. Passages whose terms' bounds stay under it are dropped, then blocks whose bounds do; only the rest is scored. All sentences above
 the threshold are verified by runs and aligned words. Documents are never grouped, shuffled or collected;
 a task holds one Arrow batch and one shard.
 """
@@ -71,19 +71,29 @@ class Index:
         self.block_max = self.impact.reshape(len(self.vocab) + 1, blocks, BLOCK).max(axis=2)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(len(self.vocab) + 1, "f4")
         self.ids = [[self.vocab[t] for t in w] for w in self.words]
+        # what a passage scores at least that holds STRIDE words in a row of the sentence
+        least = np.full(blocks * BLOCK, np.inf)
+        for d, w in enumerate(self.ids):
+            total = np.r_[0, np.cumsum(self.impact[w, d].astype("f8"))]
+            m = min(STRIDE, len(w))
+            least[d] = (total[m:] - total[:-m]).min()
+        self.least = least
+        self.block_least = least.reshape(blocks, BLOCK).min(axis=1) if blocks else np.zeros(0)
         base = len(self.vocab) + 1
         self.grams: dict[int, list[int]] = {}  # three words in a row -> sentences
         for d, w in enumerate(self.ids):
             for g in {(w[i] * base + w[i + 1]) * base + w[i + 2] for i in range(len(w) - 2)}:
                 self.grams.setdefault(g, []).append(d)
 
-    def candidates(self, ids: np.ndarray, threshold: float) -> dict[int, list[int]]:
-        """{sentence: [passage start, ...]} of all passages that score ``threshold`` or more.
+    def candidates(self, ids: np.ndarray, share: float) -> dict[int, list[int]]:
+        """{sentence: [passage start, ...]} of all passages that score ``share`` of the sentence's least or more.
 
         The bounds of all passages come from running sums: by term first, then by block; only blocks in
-        which some passage can reach the threshold are scored.
+        which some passage can reach a sentence's bar are scored.
         """
         n = len(ids)
+        if n == 0 or not len(self.block_least):
+            return {}
         starts = np.arange(0, max(1, n - STRIDE), STRIDE)
         ends = np.minimum(starts + PASSAGE, n)
 
@@ -92,20 +102,20 @@ class Index:
             np.cumsum(rows, axis=0, out=total[1:])
             return total[ends] - total[starts]
 
-        slack = threshold - 1e-3  # running sums round differently
-        if n == 0 or not (sums(self.term_max[ids, None]) >= slack).any():
+        slack = 1e-3  # running sums round differently
+        if not (sums(self.term_max[ids, None]) >= share * self.block_least.min() - slack).any():
             return {}
-        active = np.flatnonzero((sums(self.block_max[ids]) >= slack).any(axis=0))
+        active = np.flatnonzero((sums(self.block_max[ids]) >= share * self.block_least - slack).any(axis=0))
         if len(active) == 0:
             return {}
         columns = (active[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        at, d = np.nonzero(sums(self.impact[ids][:, columns]) >= threshold)
+        at, d = np.nonzero(sums(self.impact[ids][:, columns]) >= share * self.least[columns] - 1e-6)
         out: dict[int, list[int]] = {}
         for s, c in zip(starts[at].tolist(), columns[d].tolist()):
             out.setdefault(c, []).append(s)
         return out
 
-    def leaks(self, ids: np.ndarray, threshold: float, run: int, kept: float) -> set[int]:
+    def leaks(self, ids: np.ndarray, share: float, run: int, kept: float) -> set[int]:
         """Item ids of which the text holds a sentence or a run of words.
 
         Items written after one pattern resemble each other: where reworded sentences claim the same
@@ -113,7 +123,7 @@ class Index:
         """
         found: set[int] = set()
         claims: list[tuple[int, int, int, float]] = []
-        candidates = self.candidates(ids, threshold)
+        candidates = self.candidates(ids, share)
         if not candidates:
             return found
         base = len(self.vocab) + 1
@@ -201,13 +211,14 @@ def _common(bits: dict[int, int], n: int, text: list[int]) -> int:
 
 
 def leaked(
-    documents: DataFrame, items: DataFrame, threshold: float = 18.0, run: int = 12, kept: float = 0.78, shard_chars: int = 4_000_000
+    documents: DataFrame, items: DataFrame, share: float = 0.75, run: int = 12, kept: float = 0.78, shard_chars: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, item_id): documents that hold an item, one of its sentences or ``run`` words in a row from it.
 
     Case, marks, spacing and variants of characters don't matter; of a sentence, ``kept`` of its words in
     order are enough. Null and empty texts and items give no row; repeated documents each have theirs.
-    threshold: the BM25 score from which a passage and a sentence are compared.
+    share: a passage and a sentence are compared from this share of the lowest BM25 score that a passage
+    with twelve words in a row of the sentence can have.
     """
     columns = items.select(F.col("item_id").cast("long"), F.col("item_text"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")).where("item_text is not null")
     chars = columns.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
@@ -227,7 +238,7 @@ def leaked(
                 rows = []
                 for doc, text in zip(b["doc_id"], b["text"]):
                     ids = np.array([get(t, unknown) for t in tokens(text)], "i8")
-                    rows += [(doc, i) for i in ix.leaks(ids, threshold, run, kept)]
+                    rows += [(doc, i) for i in ix.leaks(ids, share, run, kept)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype("int64")
 
         found = docs.mapInPandas(run_shard, "doc_id long, item_id long")

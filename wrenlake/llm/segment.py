@@ -62,11 +62,11 @@ def _latin(lang: str) -> list[tuple]:
         # the attribution after a closed quotation belongs to its sentence
         _rule(JOIN, rf"[.!?…]\s?[{CLOSE}]+", rf"\s*[,–—-]*\s*(?:(?:[^\W\d_][\w.’'-]*)\s+){{0,5}}(?:{saying})\b"),
         _rule(JOIN, rf"[.!?…]\s?[{CLOSE}]+\s?[,;–—-]", r""),
-        # an initial before a name
-        _rule(JOIN, r"(?:^|[\s(“\"„«‹.\-])[^\W\d_]\.", r"\s*[^\W\d_]"),
         # abbreviations that may end a sentence: by what follows
         _rule(JOIN, rf"(?i:(?<!\w)(?:{ending}))\.", r"\s+[a-zß-ÿа-я\d(,;]"),
         _rule(BREAK, rf"(?i:(?<!\w)(?:{ending}))\.[{CLOSE}]*", start),
+        # an initial before a name
+        _rule(JOIN, r"(?:^|[\s(“\"„«‹.\-])[A-ZÀ-ÞА-Я]\.", r"\s*[^\W\d_]"),
         # abbreviations that something follows
         _rule(JOIN, rf"(?i:(?<!\w)(?:{abbr}))\.", r"\s*\S"),
     ]

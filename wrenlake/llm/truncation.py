@@ -54,20 +54,23 @@ def length_limits(texts: DataFrame, window: int = 20) -> DataFrame:
 
 
 def word_ends(texts: DataFrame) -> DataFrame:
-    """(word, closes, goes_on): uses of each word before a line end or mark, and before another word.
-
-    The last word of every text is left out, so that cut texts don't teach their own ends.
+    """(word, closes, goes_on, finals): uses of each word before a line end or mark, before another word, and
+    as the last of a text, which may be cut and is counted apart.
     """
-    marked = F.regexp_replace(utrim(F.col("text")), r"(?U)\S+$", "\u0001")
+    marked = F.regexp_replace(utrim(F.col("text")), r"(?U)(\S+)$", "$1\u0001")
     marked = F.regexp_replace(marked, r"(?U)[^\S\n]*\n\s*", "\u0002 ")
     raw = texts.select(F.explode(F.split(marked, r"(?U)[\s]+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     # the patterns run over distinct words only
     return (
-        raw.where((F.col("w") != "") & (F.col("w") != "\u0001"))
-        .select(_core(F.regexp_replace("w", "[\u0001\u0002]", "")).alias("word"), F.col("w").rlike("[.,;!?)”»\u0002]$").alias("closes"), "n")
+        raw.where(F.col("w") != "")
+        .select(_core(F.regexp_replace("w", "[\u0001\u0002]", "")).alias("word"), F.col("w").endswith("\u0001").alias("final"), F.col("w").rlike("[.,;!?)”»\u0002]$").alias("closes"), "n")
         .where(F.col("word") != "")
         .groupBy("word")
-        .agg(F.sum(F.when(F.col("closes"), F.col("n")).otherwise(0)).alias("closes"), F.sum(F.when(~F.col("closes"), F.col("n")).otherwise(0)).alias("goes_on"))
+        .agg(
+            F.sum(F.when(~F.col("final") & F.col("closes"), F.col("n")).otherwise(0)).alias("closes"),
+            F.sum(F.when(~F.col("final") & ~F.col("closes"), F.col("n")).otherwise(0)).alias("goes_on"),
+            F.sum(F.when(F.col("final"), F.col("n")).otherwise(0)).alias("finals"),
+        )
     )
 
 
@@ -119,7 +122,9 @@ def truncated(texts: DataFrame, rare: int = 2, share: float = 0.04) -> DataFrame
     )
     rows = salted_join(rows.withColumns({"at_limit": at_limit, "excess": excess}), word_ends(texts), ["word"], F.col("key"))
     uses = F.coalesce(F.col("closes") + F.col("goes_on"), F.lit(0))
-    odd = (F.col("word") != "") & ((uses < rare) | (F.col("closes") < share * uses))
+    # cuts fall on words as often as these are used; a known word that ends more texts than that also closes
+    ends = F.col("closes") + F.when(F.col("finals") >= 5, F.col("finals")).otherwise(0)
+    odd = (F.col("word") != "") & ((uses < rare) | (ends < share * (uses + F.col("finals"))))
     whole = F.col("closed") & ~F.col("elided")
     cut_end = (
         F.when(F.col("dangling"), True)
