@@ -71,6 +71,7 @@ class Index:
         self.block_max = self.impact.reshape(len(self.vocab) + 1, blocks, BLOCK).max(axis=2)
         self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(len(self.vocab) + 1, "f4")
         self.ids = [[self.vocab[t] for t in w] for w in self.words]
+        self.signs = [sum(1 for t in w if _SIGNS.match(t)) > len(w) / 2 for w in self.words]
         # what a passage scores at least that holds STRIDE words in a row of the sentence
         least = np.full(blocks * BLOCK, np.inf)
         for d, w in enumerate(self.ids):
@@ -133,19 +134,20 @@ class Index:
                 shared.setdefault(d, []).append(i)
         for d, at in candidates.items():
             item = int(self.items[d])
-            if item in found or len(shared.get(d, ())) < 3:
+            if len(shared.get(d, ())) < 3:
                 continue
+            signs = self.signs[d]
             for lo, hi in _spans(at, len(self.words[d]), len(ids)):
                 if sum(lo <= i < hi - 2 for i in shared[d]) < 3:
                     continue
                 text = ids[lo:hi].tolist()
-                if _longest_run(text, self.ids[d], self.words[d]) >= run:
+                ran = _longest_run(text, self.ids[d], self.words[d]) >= run
+                if ran and not signs:
                     found.add(item)
-                    # the best fit of a stretch may be a run
-                if weight(self.words[d]) >= 8:
-                    fit, start, end = self._fit(d, text)
-                    if fit >= kept:
-                        claims.append((item, lo + start, lo + end, fit))
+                fit, start, end = self._fit(d, text)
+                # where words are only estimated, a run competes like a reworded sentence
+                if (fit >= kept and weight(self.words[d]) >= 8) or (ran and signs):
+                    claims.append((item, lo + start, lo + end, fit))
         for item, lo, hi, fit in claims:
             rivals = (f for i, a, b, f in claims if i != item and min(hi, b) - max(lo, a) > 0.5 * (hi - lo))
             if fit >= max(rivals, default=0.0) - 0.06:
