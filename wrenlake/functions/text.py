@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, the no-break space included; Spark's trim() and Java's plain \s know fewer.
-SPACE = r"(?U)\s"
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, then) -> Column:
@@ -16,7 +16,7 @@ def let(value: Column, then) -> Column:
 
 def utrim(c: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def collapse(c: Column) -> Column:
