@@ -34,6 +34,6 @@ def test_empty_tables(spark):
 
 
 def test_one_line_and_long_text(spark):
-    df = spark.createDataFrame([("t", "a", "Apply now"), ("t", "b", "the work of the team is here " * 8000), ("t", "c", "☰")], "table string, key string, text string")
+    df = spark.createDataFrame([("t", "a", "Apply now"), ("t", "b", "the work of the team is here " * 8000), ("t", "c", "☰"), ("t", "d", "Kordal Foods " * 20_000 + "is here.")], "table string, key string, text string")
     names = spark.createDataFrame([], "title string, location string")
-    assert {r.key: r.content for r in boilerplate.classify(df, names).collect()} == {"a": False, "b": True, "c": False}
+    assert {r.key: r.content for r in boilerplate.classify(df, names).collect()} == {"a": False, "b": True, "c": False, "d": False}

@@ -7,7 +7,7 @@ from wrenlake.llm import residue
 CASES = [
     ("{{headline}}", "placeholder"), ("Senior {0}", "placeholder"), ("Welcome to %JOB_TITLE% today", "placeholder"), ("engineer at undefined", "placeholder"), ("null | null", "placeholder"), ("[Insert city] office", "placeholder"), ("<YOUR NAME> is hiring", "placeholder"),
     ("Headline goes here", "filler"), ("tbd tbd tbd", "filler"), ("Lorem ipsum dolor amare", "filler"), ("Texte à compléter", "filler"), ("Loading...", "filler"),
-    ("404 - Page not found. It may have been removed.", "error"), ("Zugriff verweigert", "error"), ("Erreur 500 : indisponible", "error"), ("Just a moment... checking that you are not a robot.", "error"),
+    ("404 - Page not found. It may have been removed.", "error"), ("Zugriff verweigert", "error"), ("Oops! Something went wrong on our end.", "error"), ("Hier steht später die Beschreibung.", "filler"), ("[object object]", "placeholder"), ("Erreur 500 : indisponible", "error"), ("Just a moment... checking that you are not a robot.", "error"),
     ("Please enable JavaScript to view this page.", "script"), ("Veuillez activer JavaScript", "script"), ("JavaScript ist deaktiviert", "script"),
     ("You know partials such as `{{ item.name }}` well.", None), ("tokens like %ENV% at deploy time", None), ("JavaScript required, Rust preferred | analyst", None), ("Null-safety enthusiast", None), ("I fill the [blank] between search and fraud", None),
     ("Fixing 404s since 2011 | analyst", None), ("Part of the job is writing better 404 and 500 pages for us.", None), ("Not found on other networks | analyst", None), ("how a page should behave when scripts are disabled.", None), ("You will replace placeholder copy with real text.", None), ("", None),
@@ -29,9 +29,11 @@ def test_pages(spark):
     pages = [(i, f"{PROSE} Number {i}.\n{PROSE} Again {i} for all of us in the office.\n{notice}", "https://a.example/x", 1) for i in range(6)]
     pages += [(10, notice, "https://a.example/y", 1), (11, f"Jobs\n{notice}", "https://b.example/", 1), (12, f"{PROSE}\n{PROSE} TODO\nTODO: add text", None, 1), (13, None, "https://b.example/", 1), (14, "", "https://b.example/", 1)]
     pages += [(15, ("word " * 40_000) + "\n[[name]] is hiring", "https://c.example/", 1)]
+    pages += [(20 + i, "Lorem ipsum vestar quadro mattin.", "https://d.example/", 1) for i in range(3)] + [(30, "Vestar quadro mattin quadro.", "https://e.example/", 1), (31, "Rust Kafka quadro.", "https://e.example/", 1)]
     df = spark.createDataFrame(pages, "id long, t string, u string, line int")
     got = {r.key: r.reason for r in residue.page_residue(df, "id", "t", "u").collect()}
     # a notice under real content is boilerplate of its host; a page that holds nothing else is a case where the host doesn't repeat it
     assert not set(range(6)) & set(got)
     assert got[11] == "script" and got[12] == "filler" and got[15] == "placeholder" and 13 not in got and 14 not in got
+    assert got[20] == got[30] == "filler" and 31 not in got
     assert residue.page_residue(df.limit(0), "id", "t", "u").count() == 0

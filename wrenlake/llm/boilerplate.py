@@ -108,7 +108,7 @@ def blocks(pages: DataFrame) -> DataFrame:
             "marked": F.col("line").rlike(MENU_MARK),
             "label": F.xxhash64(_label(F.col("line"))),
             # a form: figures masked, capitalised words after the first one too
-            "form": F.xxhash64(F.regexp_replace(F.regexp_replace(F.regexp_replace("core", BULLET, ""), r"\d+", "0"), r"(?<=\s)\p{Lu}[\p{L}&’'-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}&’'-]*)*", "X")),
+            "form": F.xxhash64(F.regexp_replace(F.regexp_replace(F.regexp_replace("core", BULLET, ""), r"\d+", "0"), r"(?<=\s)\p{Lu}[\p{L}&’'-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}&’'-]*)*+", "X")),
         }
     )
     linky = (F.size("items") >= 3) & short_items & ~F.col("facts") & (F.col("stops") <= F.size("items"))

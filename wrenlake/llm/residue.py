@@ -30,7 +30,7 @@ PLACEHOLDERS = (
     r"<<[^<>\n]{1,60}>>",  # <<NAME>>
     r"(?<!\w)__[A-Za-z][A-Za-z_]*__(?!\w)",  # __NAME__
     r"(?<![\w$])\$[A-Za-z_]{3,}\$(?!\w)",  # $NAME$
-    r"\[object [A-Z]\w*\]",
+    r"(?i:\[object \w+\])",
     r"<[A-Z]+(?:[ _][A-Z]+)+>|<(?:NAME|COMPANY|CITY|TITLE|DATE|ROLE)>",  # <YOUR NAME>
     r"\[(?:[A-Z]{3,}(?:[ _][A-Z]{2,})*)\]",  # [COMPANY NAME]
     r"(?i)\[(?:insert|your|enter|add|ihre?|votre|su|tu|nom|einf[uü]gen|ins[eé]rer|insertar)\b[^\[\]\n]{0,60}\]",
@@ -57,6 +57,10 @@ FILLER = (
     r"(?:votre|ins[eé]rez|saisissez|entrez) (?:votre |le |un )?(?:texte|titre|description|contenu)(?: ici)?\b.{0,30}",
     r"(?:exemple de|faux) texte\b.{0,40}|texte (?:d['’]exemple|de remplissage|provisoire)\b.{0,40}",
     r"(?:platzhalter|blind|muster|beispiel|dummy|füll)-?(?:text|inhalt|titel|zeile)?\b.{0,60}",
+    r"hier (?:steht|stehen|folgt|kommt|erscheint)\b.{0,50}(?:text|beschreibung|inhalt|titel|überschrift)\w*",
+    r"(?:job |role |position )?(?:description|details|content|text|information) (?:to follow|coming soon|will follow|to be (?:added|confirmed|announced|completed))\b.{0,40}|coming soon",
+    r"(?:ici|la description|le texte|le contenu)\b.{0,30}(?:viendra|suivra|figurera|à venir|sera (?:ajout|compl)\w+).{0,40}",
+    r"(?:aquí|la descripci[oó]n|el texto|el contenido)\b.{0,30}(?:ir[aá]|va|vendr[aá]|aparecer[aá]|próximamente|se (?:añadir|completar)á).{0,40}",
     r"(?:hier )?(?:steht |kommt |folgt )?(?:ihr|der|dein) (?:text|titel|inhalt)(?: hier)?(?: ein(?:fügen|geben|zufügen))?",
     r"(?:text|beschreibung|inhalt|titel) (?:hier|folgt|einfügen|ergänzen|fehlt noch)\b.{0,40}",
     r"(?:su|tu|escriba|inserte|introduzca|añada) (?:su |tu |el |un )?(?:texto|t[ií]tulo|descripci[oó]n|contenido)(?: aqu[ií])?\b.{0,30}",
@@ -117,8 +121,12 @@ LOREM = r"(?i)\b(?:lorem|ipsum)\b"
 DECOR = r"(?U)^[\s*#=_~•·>»⚠!|—–-]+|[\s*#=_~•·<«|—–-]+$"
 
 
+#: a word of regret before a message
+REGRET = r"(?:(?:oops|whoops|uh-oh|ouch|sorry|hoppla|ups|huch|oups|aïe|vaya|entschuldigung|pardon|désolé|lo sentimos|wir bitten um entschuldigung)[\s!,.…–-]*)?"
+
+
 def _whole(patterns: tuple[str, ...]) -> str:
-    return r"(?iu)^(?:" + "|".join(f"(?:{p})" for p in patterns) + r")[\s.!…]*$"
+    return r"(?iu)^" + REGRET + r"(?:" + "|".join(f"(?:{p})" for p in patterns) + r")[\s.!…]*$"
 
 
 #: the longest line or field that can be a message or filler as a whole
@@ -133,7 +141,7 @@ def with_evidence(df: DataFrame, line: str) -> DataFrame:
     df = df.withColumn("_core", F.regexp_replace(collapse(F.col(line)), DECOR, ""))
     df = df.withColumns(
         {
-            "_first": F.regexp_extract(F.col("_core"), r"^(.*?)(?:\s*[|.]\s*\1)+$|^(.*)$", 1),
+            "_first": F.when(F.length("_core") <= MESSAGE_CHARS, F.regexp_extract(F.col("_core"), r"^(.*?)(?:\s*[|.]\s*\1)++$", 1)).otherwise(""),
             "_short": F.length("_core") <= MESSAGE_CHARS,
             # any mark of a placeholder at all; most lines have none and are done
             "_marked": F.col(line).rlike(r"[{}%@\[\]$<>]|__|(?i)undefined|null\b|\bnan\b|\bnone\b|\bnil\b"),
@@ -147,8 +155,10 @@ def with_evidence(df: DataFrame, line: str) -> DataFrame:
     one = F.when(F.col("_first") != "", F.col("_first")).otherwise(core)
     filler = short & one.rlike(_whole(FILLER)) & ~core.rlike(r"(?i)\b(?:lead|engineer|manager|analyst|writer|designer|developer)\b")
     latin = core.rlike(LOREM) & ~core.rlike(STOP_RE)
+    # all notices about scripts name them; most lines are done with that
+    scripts = core.rlike(r"(?i)script|skript|\bjs\b")
     kind = (
-        F.when(short & core.rlike(_whole(SCRIPT)), "script")
+        F.when(short & scripts & core.rlike(_whole(SCRIPT)), "script")
         .when(short & core.rlike(_whole(ERROR)), "error")
         .when(placeholder, "placeholder")
         .when(filler | latin, "filler")
@@ -165,18 +175,27 @@ def page_lines(pages: DataFrame, key: str, text: str, url: str) -> DataFrame:
     return lines.withColumn("norm", norm).where(F.col("norm") != "")
 
 
-def page_residue(pages: DataFrame, key: str, text: str, url: str, least: int = 3, share: float = 0.05, content_chars: int = 200) -> DataFrame:
+def page_residue(pages: DataFrame, key: str, text: str, url: str, least: int = 3, share: float = 0.05, content_chars: int = 200, latin_share: float = 0.8) -> DataFrame:
     """(key, reason): the pages whose residual has evidence; all of their other columns stay behind.
 
     A line is a host's boilerplate when it stands in at least ``least`` different texts and in ``share`` of
     the host's texts, and most of these also hold ``content_chars`` characters of other prose. Error
     messages and script notices count only where no such prose is left; placeholders and filler always.
     Null and empty texts give no row.
+
+    Filler in invented Latin is known by its words: those of lines with lorem or ipsum, and lines of which
+    ``latin_share`` of the words are among them. No word list is needed, and none is broadcast.
     """
     lines = with_evidence(page_lines(pages, key, text, url), "line")
     prose = (F.length("line") >= 40) & F.col("kind").isNull() & F.col("line").rlike(f"(?s){STOP_RE}.*{STOP_RE}")
+    # words of lines that are, or may be, filler in invented Latin: a plain sentence without any function word
+    plain = (F.length("line") <= 2000) & F.col("line").rlike(r"[.!?]\s*$") & ~F.col("line").rlike(r"[^\p{L}\s,;.!?]")
+    sure = (F.col("kind") == "filler") & F.col("line").rlike(LOREM)
+    maybe = F.col("kind").isNull() & plain & ~F.col("line").rlike(STOP_RE)
+    words = F.when(sure | maybe, F.array_distinct(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\s]", "")), r"(?U)\s+")))
+    lines = lines.withColumn("words", F.filter(words, lambda w: w != ""))
     lines = cut(
-        lines.select("key", "host", "text_id", F.xxhash64("norm").alias("norm"), "kind", F.when(prose, F.length("line")).otherwise(0).alias("prose")),
+        lines.select("key", "host", "text_id", F.xxhash64("norm").alias("norm"), "kind", F.when(prose, F.length("line")).otherwise(0).alias("prose"), "words"),
         "page-lines",
     )
     by_text = lines.groupBy("host", "text_id").agg(F.sum("prose").alias("prose_all"))
@@ -199,7 +218,12 @@ def page_residue(pages: DataFrame, key: str, text: str, url: str, least: int = 3
         F.max(F.when(F.col("kind").isin("error", "script"), F.col("kind"))).alias("e"),
     )
     reason = F.coalesce(F.col("p"), F.col("f"), F.when(F.col("prose") < content_chars, F.col("e")))
-    return verdict.select("key", reason.alias("reason")).where(F.col("reason").isNotNull())
+    found_ = verdict.select("key", reason.alias("reason")).where(F.col("reason").isNotNull())
+    latin = lines.where(F.col("kind").isNotNull() & F.col("words").isNotNull()).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word", F.lit(1).alias("is_latin"))
+    open_ = lines.where(F.col("kind").isNull() & (F.size("words") >= 3)).select("key", "norm", F.explode("words").alias("word"))
+    filled = salted_join(open_, latin, ["word"], F.col("key")).groupBy("key", "norm").agg(F.avg(F.coalesce("is_latin", F.lit(0))).alias("share")).where(F.col("share") >= latin_share)
+    more = filled.select("key", F.lit("filler").alias("reason"))
+    return found_.unionByName(more).groupBy("key").agg(F.min("reason").alias("reason"))
 
 
 def field_residue(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -76,7 +76,7 @@ def word_ends(texts: DataFrame) -> DataFrame:
 
 def _template(line: Column) -> Column:
     """The line with capitalised words and figures masked, as a hash."""
-    masked = F.regexp_replace(F.regexp_replace(line, r"\p{Lu}[\p{L}\p{N}&.’'-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}\p{N}&.’'-]*)*", "X"), r"\d+", "0")
+    masked = F.regexp_replace(F.regexp_replace(line, r"\p{Lu}[\p{L}\p{N}&.’'-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}\p{N}&.’'-]*)*+", "X"), r"\d+", "0")
     return F.xxhash64(masked)
 
 
