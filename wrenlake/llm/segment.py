@@ -60,7 +60,7 @@ def _latin(lang: str) -> list[tuple]:
     start = rf"\s+[{OPEN}–—-]*\s?(?:[^\W\d_])"
     return [
         # the attribution after a closed quotation belongs to its sentence
-        _rule(JOIN, rf"[.!?…]\s?[{CLOSE}]+", rf"\s*[,–—-]*\s*(?:(?:[^\W\d_][\w.’'-]*)\s+){{0,5}}(?:{saying})\b"),
+        _rule(JOIN, rf"[!?…]\s?[{CLOSE}]+", rf"\s*[,–—-]*\s*(?:(?:[^\W\d_][\w.’'-]*)\s+){{0,5}}(?:{saying})\b"),
         _rule(JOIN, rf"[.!?…]\s?[{CLOSE}]+\s?[,;–—-]", r""),
         # abbreviations that may end a sentence: by what follows
         _rule(JOIN, rf"(?i:(?<!\w)(?:{ending}))\.", r"\s+[a-zß-ÿа-я\d(,;]"),
@@ -101,6 +101,7 @@ TABLES: dict[str, list[tuple]] = {
     "latin": [
         _rule(JOIN, r"(?i:(?<!\w)(?:mr|mrs|ms|dr|prof|hr|mme|mlle|sr|sra|srta|st))\.", r"\s+[A-ZÀ-Þ]"),
         _rule(JOIN, r"(?i:(?<!\w)(?:approx|ca|env|aprox|circa|no|nos|nr|núm|p|pp|pág|págs|pag|s|vol|fig|figs|art|abs|cf|min|max|vs))\.", r"\s+v?\d"),
+        _rule(JOIN, r"(?i:(?<!\w)(?:approx|aprox|bzw|vgl|incl|inkl|excl|exkl|resp|dept|evtl|ggf|sog|núm|véase|pág|págs))\.", r"\s*\S"),
         _rule(JOIN, r"(?i:(?<!\w)(?:e\.\s?g|i\.\s?e|z\.\s?b|d\.\s?h|p\.\s?ex|p\.\s?ej))\.", r"\s+\S"),
     ],
     # scripts without a table of their own, and what no table above decides
@@ -111,6 +112,8 @@ TABLES: dict[str, list[tuple]] = {
         _rule(JOIN, r"[.?!]", r"[A-ZÀ-ÞА-Я][.A-ZÀ-ÞА-Я\d]"),
         # dots that trail off before a small letter, names such as iOS excepted
         _rule(BREAK, rf"[.!?…]+\s?[{CLOSE}]*", r"\s+[a-z]{1,2}[A-Z]\w"),
+        # a whole word and its full stop end a sentence also where the next one begins small
+        _rule(BREAK, r"[^\W\d_]{4}\.", r"\s+[a-zß-ÿа-я]"),
         _rule(JOIN, rf"(?:\.\.\.|…|\.)\s?[{CLOSE}]*", rf"\s+[{OPEN}]?[a-zß-ÿа-я]"),
         _rule(JOIN, rf"[!?]+\s?[{CLOSE}]+", r"\s*[a-zß-ÿа-я]"),
         _rule(JOIN, r"(?:…|\.\.\.)", r"[^\sA-ZÀ-ÞА-Я“«„¿¡]"),
@@ -171,7 +174,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
         start = at + len(line) - len(line.lstrip())
         lines.append((start, end) if start < end else None)
         at += len(line)
-    width = max((x[1] - x[0] for x in lines if x), default=0)
+    longest = max((x[1] - x[0] for x in lines if x), default=0)
     i = 0
     while i < len(lines):
         if lines[i] is None:
@@ -181,6 +184,9 @@ def blocks(text: str) -> list[tuple[int, int]]:
         while j < len(lines) and lines[j] is not None:
             j += 1
         part = lines[i:j]
+        sizes = [e - s for s, e in part]
+        # beside lines that were never wrapped, a paragraph shows its margin by lines of about one length
+        width = longest if longest <= WRAP[1] else max(sizes) if min(sizes[:-1], default=0) >= 0.75 * max(sizes) else 0
         current: list[int] | None = None
         listed = False
         for n, (s, e) in enumerate(part):
@@ -204,20 +210,22 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 #: lines wrapped by a program are about this long; longer ones weren't wrapped, shorter ones are lists and headings
-WRAP = (50, 100)
+WRAP = (56, 100)
 
 
 def _runs_on(text: str, a: tuple[int, int], b: tuple[int, int], width: int) -> bool:
     """Line b goes on line a: the break was forced, as b's first word had no room on line a.
 
-    ``width`` is the longest line of the whole text, which in wrapped text is close to its margin.
+    ``width`` is the longest line of the text or paragraph, which in wrapped text is close to its margin.
     """
     line = text[a[0] : a[1]]
     if _TERMINAL.search(line) and not line.endswith((":", "：")):
         return True  # the sentence rules decide
+    following = text[b[0] : b[1]]
+    if re.search(r"[a-zß-ÿ][-\u00ad‐]$", line) and following[0].islower():
+        return True  # a word that was parted
     if not WRAP[0] <= width <= WRAP[1]:
         return False
-    following = text[b[0] : b[1]]
     blank = re.search(r"\s", following)
     first = blank.start() if blank else len(following)
     if re.match(r"[฀-๿぀-ヿ㐀-鿿]", following) and first > 12:
