@@ -508,8 +508,8 @@ def search(
     sample: int = 24_000,
     leaf: int = 64,
     trees: int = TREES,
-    beam: int = 8,
-    starts: int = 8,
+    beam: int = 12,
+    starts: int = 24,
     hops: int = 6,
 ) -> DataFrame:
     """(query, id, sim): greedy search of the graph of ``df`` for vectors that need not be in it.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wrenlake.llm import boilerplate, knn, leakage, mixture, names, residue, segment, truncation
 from wrenlake.session import read_table
@@ -23,6 +24,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_table", "scrape_id")
 
 
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar chunks of every hundredth chunk (by a hash of its id), by greedy search of the graph."""
+    chunks = read_table(spark, sf_dir, "resume_chunks").select("id", "embedding_model", "embedding")
+    heads, graph = knn.build_graph(chunks)
+    hits = knn.search(chunks.where(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(100)) == 0), chunks, heads, graph)
+    return hits.select("query", "id", F.round("sim", 4).alias("sim"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.found(read_table(spark, sf_dir, "scraped_ats_jobs"), read_table(spark, sf_dir, "jobs"))
 
@@ -52,7 +61,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_shares, p6_found, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_search, p4_found, p5_found, p5_shares, p6_found, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
