@@ -48,7 +48,7 @@ FURNITURE = (
     r"^(?:sign|log) ?(?:in|out|up)\b.{0,40}$|^(?:anmelden|einloggen|connexion|se connecter|acceder|iniciar sesi[oó]n)$",
     r"\b(?:join|join our|tritt|rejoignez|[uú]nete a).{0,25}\b(?:talent (?:pool|community|network)|talentpool|vivier)\b",
     r"\brefer a friend\b|\bempfehlen sie (?:uns|einen)|\bparrainez\b|\brecomienda a\b",
-    r"\b(?:get|create|set up|receive)\b.{0,15}\b(?:job )?alerts?\b|\bjobs per e-?mail\b|\balerte[s]? (?:e-?mail|emploi)|\balertas? de (?:empleo|ofertas)|\b(?:recevoir|recibir)\b.{0,30}\b(?:offres|ofertas|empleos)\b.{0,80}$|\bofertas? por correo\b|\boffres? par e-?mail\b",
+    r"\b(?:get|create|set up|receive|recib\w+|recevez|recevoir|cr[eé]e[zr]?|crea\w*|erhalten|erstellen)\b.{0,25}\b(?:alerts?|alertas?|alertes?|benachrichtigungen)\b|\bjobs per e-?mail\b|\balerte[s]? (?:e-?mail|emploi)|\balertas? de (?:empleo|ofertas)|\b(?:recevoir|recibir)\b.{0,30}\b(?:offres|ofertas|empleos)\b.{0,80}$|\bofertas? por correo\b|\boffres? par e-?mail\b",
     # other openings and the way to them
     r"\b(?:people|others|visitors) also (?:viewed|applied)\b|\brecently viewed\b|\bzuletzt angesehen\b|\bvus? r[eé]cemment\b|\bvistos? recientemente\b",
     r"^(?:similar|related|more|other|ähnliche|weitere|offres|autres|ofertas|empleos|puestos|otras|m[aá]s)\b.{0,20}\b(?:jobs|roles|openings|positions|vacancies|stellen|similaires|offres|postes|similares|parecid[oa]s|empleos|ofertas|puestos)\b.{0,100}$",
