@@ -12,7 +12,7 @@ def texts():
         full = body + "\nSkills: " + ", ".join(WORDS[i % 5 :])
         rows.append(("card", i, full[:300]))  # a limit of 300 characters
         rows.append(("page", 1000 + i, full))
-    rows += [("page", 2000, "We run the relay in town and then the pla"), ("page", 2001, "We run the relay in town, "), ("page", 2002, "Skills: relay, ledger"), ("page", 2003, "All is said."), ("page", 2004, None), ("page", 2005, " "), ("page", 2006, "half a sign �"), ("page", 2007, "We run the gateway in town. We run the"), ("page", 2008, "x" * 200_000 + ".")]
+    rows += [("page", 2000, "We run the relay in town and then the pla"), ("page", 2001, "We run the relay in town, "), ("page", 2002, "Skills: relay, ledger"), ("page", 2003, "All is said."), ("page", 2004, None), ("page", 2005, " "), ("page", 2006, "half a sign �"), ("page", 2007, "We run the gateway in town. We run the"), ("page", 2008, "x" * 200_000 + "."), ("page", 2009, "x" * 200_000 + " relay ledger.")]
     return rows
 
 
@@ -25,7 +25,7 @@ def test_limits_and_cuts(spark):
     assert cut <= set(got) and all(got[k] for k in cut)
     whole = {k for s, k, t in texts() if k < 2000 and not (s == "card" and len(t) == 300)}
     assert not whole & set(got)
-    assert {2000, 2001, 2006, 2007} <= set(got) and not {2002, 2003, 2004, 2005, 2008} & set(got)
+    assert {2000, 2001, 2006, 2007} <= set(got) and not {2002, 2003, 2004, 2005, 2008, 2009} & set(got)
 
 
 def test_empty_and_shares(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wrenlake.functions.text import utrim
+from wrenlake.functions.text import let, utrim
 from wrenlake.llm.residue import STOP_RE
 from wrenlake.operators.skew import salted_join
 
@@ -57,7 +57,7 @@ def word_ends(texts: DataFrame) -> DataFrame:
     """(word, closes, goes_on, finals): uses of each word before a line end or mark, before another word, and
     as the last of a text, which may be cut and is counted apart.
     """
-    marked = F.regexp_replace(utrim(F.col("text")), r"(?U)(\S+)$", "$1\u0001")
+    marked = F.concat(utrim(F.col("text")), F.lit("\u0001"))
     marked = F.regexp_replace(marked, r"(?U)[^\S\n]*\n\s*", "\u0002 ")
     raw = texts.select(F.explode(F.split(marked, r"(?U)[\s]+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     # the patterns run over distinct words only
@@ -82,8 +82,9 @@ def _template(line: Column) -> Column:
 
 def known_lines(texts: DataFrame, least: int = 2) -> DataFrame:
     """(template): forms of lines that stand whole, before another line, in ``least`` places or more."""
-    inner = F.regexp_replace(utrim(F.col("text")), r"[^\n]*$", "")
-    lines = texts.where(F.col("text").contains("\n")).select(F.explode(F.split(inner, r"(?U)\s*\n\s*")).alias("line"))
+    all_lines = F.split(utrim(F.col("text")), "\n", -1)
+    lines = texts.where(F.col("text").contains("\n")).select(F.explode(let(all_lines, lambda ls: F.slice(ls, 1, F.size(ls) - 1))).alias("line"))
+    lines = lines.select(utrim(F.col("line")).alias("line"))
     return lines.where(F.length("line").between(1, 400)).groupBy(_template(F.col("line")).alias("template")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template", F.lit(True).alias("known"))
 
 
@@ -99,7 +100,7 @@ def truncated(texts: DataFrame, rare: int = 2, share: float = 0.04) -> DataFrame
     rows = texts.where(F.col("text").isNotNull() & (utrim(F.col("text")) != ""))
     limits = length_limits(rows)
     end = utrim(F.col("text"))
-    line = F.element_at(F.split(end, r"(?U)\s*(?:\r\n|\n|\r)\s*"), -1)
+    line = utrim(F.substring_index(end, "\n", -1))
     rows = rows.select("source", "key", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.substring(end, -240, 240).alias("tail"), line.alias("line"))
     rows = rows.withColumns(
         {
