@@ -64,6 +64,15 @@ def test_large_cells_are_parted(spark):
     assert len(got & want) / len(want) >= 0.6
 
 
+def test_neighbours_across_parts_are_found(spark):
+    x = np.random.default_rng(5).normal(size=(2000, 8)) + 1.0  # one dense cluster
+    rows = [(f"c{i:04d}", "m", [float(f) for f in v]) for i, v in enumerate(x.astype("f4"))]
+    df = spark.createDataFrame(rows, "id string, embedding_model string, embedding array<float>")
+    got = {(r.chunk_a, r.chunk_b) for r in knn.similar_pairs(df, width=8, leaf=10_000, cell_rows=100).collect()}
+    want = brute(rows, 5)
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
 def test_greedy_search(spark):
     rows = data(400, 3)
     df = spark.createDataFrame(rows, "id string, embedding_model string, embedding array<float>")

@@ -7,11 +7,11 @@ Plan, with N vectors and k neighbours:
 2. A forest of hyperplane trees, fitted on a bounded sample, puts each node into one cell per tree. The
    neighbours inside each cell are exact and form the first graph.
 3. NN-descent: the graph joins itself on the middle node. Of the neighbours of neighbours only pairs that
-   never shared a cell are new; their vectors are fetched by two joins and both ends keep their best.
-   Rounds end when less than ``delta`` of the edges change.
+   never shared a cell, and that some edge of the last round leads to, are new; their vectors are fetched
+   by two joins and both ends keep their best. Rounds end when less than ``delta`` of the edges change.
 
-A cell that holds more than ``cell_rows`` rows is split further by hyperplanes through its own sample
-mean, so no task sees an unbounded cell.
+A cell that holds more than ``cell_rows`` rows is parted by a tree of its own, fitted on a bounded sample
+of its rows while they stream past. Its parts are cells of their own: a pair of two parts has not met.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,14 @@ SCALE = 32767
 EDGE = np.dtype([("v", "<i8"), ("pack", "<i8"), ("s", "<f4")])
 TREES = 2
 LEAF_BITS = 20
+#: a tree's code in pack: the leaf and above it the part, 0 for a leaf that is whole
+PART_BITS = 11
+CODE_BITS = LEAF_BITS + PART_BITS
+#: set in an edge's pack until the descent has followed it
+FRESH = 1 << (TREES * CODE_BITS)
+PART_SAMPLE = 4096
+#: rows of a cell that are compared with all others at a time
+BLOCK = 1024
 
 
 # ---------------------------------------------------------------- vectors
@@ -94,13 +102,13 @@ def build_forest(models: list, vectors: np.ndarray, trees: int = TREES, leaf: in
     return forest
 
 
-def _build_tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> tuple:
+def _build_tree(x: np.ndarray, leaf: int, rng: np.random.Generator, most: int = 2 ** (LEAF_BITS - 1)) -> tuple:
     normals, thresholds, children = [], [], []
     leaves = 0
     todo = [(np.arange(len(x)), -1, 0)]
     while todo:
         idx, parent, side = todo.pop()
-        split = _split(x[idx], rng) if len(idx) > leaf and len(normals) < 2 ** (LEAF_BITS - 1) else None
+        split = _split(x[idx], rng) if len(idx) > leaf and len(normals) < most else None
         if split is None:
             here = ~leaves
             leaves += 1
@@ -189,7 +197,7 @@ def _rows(df: DataFrame, id_col: str, model_col: str, vec_col: str, width: int)
 def graph_nodes(rows: DataFrame, forest: dict, width: int, k: int) -> DataFrame:
     """(nid, id, rn, n, pack, q): of each direction the k + 1 smallest ids; n is their number.
 
-    pack holds the node's leaf in every tree, LEAF_BITS bits each; q the 16-bit vector.
+    pack holds the node's leaf in every tree, CODE_BITS bits each; q the 16-bit vector.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +213,7 @@ def graph_nodes(rows: DataFrame, forest: dict, width: int, k: int) -> DataFrame:
             for m in set(names.tolist()):
                 at = np.flatnonzero(names == m)
                 for t, tree in enumerate(forest.get(m, [])):
-                    pack[at] |= leaves_of(tree, x[at] / SCALE) << (LEAF_BITS * t)
+                    pack[at] |= leaves_of(tree, x[at] / SCALE) << (CODE_BITS * t)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").filter(keep), models, pa.array(pack), _blobs(q)], ["id", "model", "pack", "q"]
             )
@@ -226,11 +234,13 @@ def graph_nodes(rows: DataFrame, forest: dict, width: int, k: int) -> DataFrame:
 
 def _best(u: np.ndarray, e: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every u its ``keep`` best edges, ordered; an edge that occurs twice counts once."""
-    order = np.lexsort((e["v"], -e["s"], u))
+    order = np.lexsort((e["pack"], e["v"], u))  # of an edge that occurs twice the one already followed
     u, e = u[order], e[order]
     if len(u) > 1:
         again = np.r_[False, (u[1:] == u[:-1]) & (e["v"][1:] == e["v"][:-1])]
         u, e = u[~again], e[~again]
+    order = np.lexsort((e["v"], -e["s"], u))
+    u, e = u[order], e[order]
     start = np.r_[True, u[1:] != u[:-1]] if len(u) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(start, np.arange(len(u)), 0)) if len(u) else np.zeros(0, "i8")
     m = np.arange(len(u)) - first < keep
@@ -247,38 +257,94 @@ def _as_rows(u: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return u[start], nb
 
 
-def cell_graph(cells: DataFrame, width: int, keep: int, cell_rows: int, seed: int = 11) -> DataFrame:
-    """(u, nb): the best neighbours of every node inside each of its cells, exactly.
+def cell_keys(trees: int) -> list[Column]:
+    """A node's cells, one a tree: model, tree and code."""
+    code = (1 << CODE_BITS) - 1
+    return [F.xxhash64("mid", F.lit(t), F.shiftright("pack", CODE_BITS * t).bitwiseAND(F.lit(code))) for t in range(trees)]
 
-    A cell of more than ``cell_rows`` rows is parted by hyperplanes until its parts are small enough; the
-    parts overlap by nothing, so their shared borders are left to the descent.
+
+def part_cells(nodes: DataFrame, width: int, cell_rows: int, trees: int, seed: int = 11) -> DataFrame:
+    """``nodes`` with the parts of cells of more than ``cell_rows`` rows in their pack.
+
+    The rows of a large cell pass in the order of their hashes; the first ``PART_SAMPLE`` fit its tree, which
+    parts them and all others. No task holds more of a cell than that.
     """
+    keys = cell_keys(trees)
+    tagged = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key.alias("cell")) for t, key in enumerate(keys)]))
+    sizes = nodes.select(tagged.alias("c")).groupBy("c.cell").agg(F.count(F.lit(1)).alias("rows"))
+    large = cut(sizes.where(F.col("rows") > cell_rows), "knn-large")
+    if large.isEmpty():
+        drop(large)
+        return nodes
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, ways, rows, held = None, None, None, 0, []
+
+        def fitted(q: np.ndarray, cell: int, rows: int) -> tuple:
+            x = unit_rows(q[:PART_SAMPLE], width)[0].astype("f4")
+            # half of what a cell may hold, as parts differ in size
+            leaf = max(8, int(len(x) * cell_rows / (2 * rows)))
+            made = _build_tree(x, leaf, np.random.default_rng([seed, cell & 0xFFFFFFFF]), 2 ** (PART_BITS - 1))
+            counts = np.bincount(leaves_of(made, x), minlength=len(made[0]) + 1)
+            # a leaf that no hyperplane parts is dealt out by hash
+            deal = np.maximum(1, np.ceil(counts * rows / len(x) / (2 * cell_rows)).astype("i8"))
+            return made, deal
+
+        def placed(cell: int, t: np.ndarray, nid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            at = leaves_of(tree, unit_rows(q, width)[0].astype("f4"))
+            first = np.r_[0, np.cumsum(ways)[:-1]]
+            part = 1 + (first[at] + nid % ways[at]) % (2**PART_BITS - 1)
+            add = part << (LEAF_BITS + CODE_BITS * t)
+            return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(add)], ["nid", "add"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal tree, ways, held
+            if held:
+                t, nid, q = (np.concatenate(c) for c in zip(*held))
+                if tree is None:
+                    tree, ways = fitted(q, now, rows)
+                held = []
+                yield placed(now, t, nid, q)
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            cell, t, nid, n = (b.column(c).to_numpy() for c in ("cell", "t", "nid", "rows"))
+            q = np.frombuffer(_bytes_of(b.column("q")), "<i2").reshape(-1, width)
+            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(cell)]):
+                if now != cell[lo]:
+                    yield from flush()
+                    now, tree, ways, rows = int(cell[lo]), None, None, int(n[lo])
+                held.append((t[lo:hi].astype("i8"), nid[lo:hi], q[lo:hi]))
+                if tree is not None or sum(len(h[1]) for h in held) >= PART_SAMPLE:
+                    yield from flush()
+        yield from flush()
+
+    rows = nodes.select("nid", "q", tagged.alias("c")).select("nid", "q", "c.t", "c.cell").join(F.broadcast(large), "cell")
+    sorted_rows = rows.repartition("cell").sortWithinPartitions("cell", F.xxhash64("nid"), "nid").select("cell", "t", "nid", "rows", "q")
+    added = sorted_rows.mapInArrow(parts, "nid long, add long").groupBy("nid").agg(F.sum("add").alias("add"))
+    parted = nodes.join(added, "nid", "left").withColumn("pack", F.col("pack").bitwiseOR(F.coalesce("add", F.lit(0)))).drop("add")
+    return cut(parted, "knn-parted")
+
+
+def cell_graph(cells: DataFrame, width: int, keep: int) -> DataFrame:
+    """(u, nb): the best neighbours of every node inside each of its cells, exactly."""
 
     def knn(table: pa.Table) -> pa.Table:
         nid = table.column("nid").to_numpy()
         pack = table.column("pack").to_numpy()
         x = from_blobs(table.column("q"), width)
+        k = min(keep, len(nid) - 1)
         us, es = [], []
-        todo = [np.arange(len(nid))]
-        rng = np.random.default_rng(seed)
-        while todo:
-            idx = todo.pop()
-            if len(idx) > cell_rows:
-                split = _split(x[idx[rng.choice(len(idx), min(len(idx), 512), replace=False)]], rng)
-                right = x[idx] @ split[0] > split[1] if split else np.arange(len(idx)) % 2 == 0
-                if right.all() or not right.any():
-                    right = np.arange(len(idx)) % 2 == 0
-                todo += [idx[right], idx[~right]]
-                continue
-            if len(idx) < 2:
-                continue
-            s = x[idx] @ x[idx].T
-            np.fill_diagonal(s, -2)
-            k = min(keep, len(idx) - 1)
+        for lo in range(0, len(nid) if k else 0, BLOCK):
+            here = np.arange(lo, min(lo + BLOCK, len(nid)))
+            s = x[here] @ x.T
+            s[np.arange(len(here)), here] = -2
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             e = np.empty(best.size, EDGE)
-            e["v"], e["pack"], e["s"] = nid[idx][best].ravel(), pack[idx][best].ravel(), np.take_along_axis(s, best, 1).ravel()
-            us.append(np.repeat(nid[idx], k))
+            e["v"], e["pack"], e["s"] = nid[best].ravel(), pack[best].ravel() | FRESH, np.take_along_axis(s, best, 1).ravel()
+            us.append(np.repeat(nid[here], k))
             es.append(e)
         u, e = (np.concatenate(us), np.concatenate(es)) if us else (np.zeros(0, "i8"), np.zeros(0, EDGE))
         u, e = _best(u, e, keep)
@@ -310,7 +376,7 @@ def _merge(lists: DataFrame, keep: int) -> DataFrame:
 
 
 def new_pairs(graph: DataFrame, nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(lo, hi): neighbours of neighbours that never met in a cell, each pair once."""
+    """(lo, hi): neighbours of neighbours by at least one fresh edge that never met in a cell, each pair once."""
 
     def out_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,11 +384,11 @@ def new_pairs(graph: DataFrame, nodes: DataFrame, trees: int = TREES) -> DataFra
             e = np.frombuffer(_bytes_of(nb), EDGE)
             sizes = np.diff(np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]) // EDGE.itemsize if len(nb) else np.zeros(0, "i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e["v"]), pa.array(np.repeat(b.column("u").to_numpy(), sizes)), pa.array(np.repeat(b.column("pack").to_numpy(), sizes))],
+                [pa.array(e["v"]), pa.array(np.repeat(b.column("u").to_numpy(), sizes)), pa.array(np.repeat(b.column("pack").to_numpy(), sizes) | (e["pack"] & FRESH))],
                 ["v", "u", "pack"],
             )
 
-    mask = (1 << LEAF_BITS) - 1
+    code = (1 << CODE_BITS) - 1
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,9 +397,9 @@ def new_pairs(graph: DataFrame, nodes: DataFrame, trees: int = TREES) -> DataFra
             sizes = np.diff(np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]) // EDGE.itemsize if len(nb) else np.zeros(0, "i8")
             u = np.repeat(b.column("u").to_numpy(), sizes)
             p = np.repeat(b.column("pack").to_numpy(), sizes)
-            met = u == e["v"]
+            met = (u == e["v"]) | ((p | e["pack"]) & FRESH == 0)
             for t in range(trees):
-                met |= ((p ^ e["pack"]) >> (LEAF_BITS * t)) & mask == 0
+                met |= ((p ^ e["pack"]) >> (CODE_BITS * t)) & code == 0
             u, w = u[~met], e["v"][~met]
             both = np.unique(np.stack([np.minimum(u, w), np.maximum(u, w)], axis=1), axis=0) if len(u) else np.zeros((0, 2), "i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], ["lo", "hi"])
@@ -352,7 +418,7 @@ def score_pairs(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             s = np.einsum("ij,ij->i", from_blobs(b.column("q_lo"), width), from_blobs(b.column("q_hi"), width))
             lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
             e = np.empty(2 * len(lo), EDGE)
-            e["v"], e["pack"], e["s"] = np.r_[hi, lo], np.r_[b.column("p_hi").to_numpy(), b.column("p_lo").to_numpy()], np.r_[s, s]
+            e["v"], e["pack"], e["s"] = np.r_[hi, lo], np.r_[b.column("p_hi").to_numpy(), b.column("p_lo").to_numpy()] | FRESH, np.r_[s, s]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[lo, hi]), _blobs(e)], ["u", "nb"])
 
     lo = nodes.select(F.col("nid").alias("lo"), F.col("pack").alias("p_lo"), F.col("q").alias("q_lo"))
@@ -360,6 +426,31 @@ def score_pairs(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return pairs.join(lo, "lo").join(hi, "hi").mapInArrow(score, "u long, nb binary")
 
 
+def followed(graph: DataFrame) -> DataFrame:
+    """``graph`` with no edge fresh."""
+
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nb = b.column("nb")
+            e = np.frombuffer(_bytes_of(nb), EDGE).copy()
+            e["pack"] &= ~FRESH
+            offsets = np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1] if len(nb) else np.zeros(1, "<i4")
+            made = pa.Array.from_buffers(pa.binary(), len(nb), [None, pa.py_buffer((offsets - offsets[0]).astype("<i4")), pa.py_buffer(e)])
+            yield pa.RecordBatch.from_arrays([b.column("u"), made], ["u", "nb"])
+
+    return graph.mapInArrow(clear, "u long, nb binary")
+
+
+def fresh_edges(graph: DataFrame) -> int:
+    """The number of edges that the descent has not followed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(np.count_nonzero(np.frombuffer(_bytes_of(b.column("nb")), EDGE)["pack"] & FRESH)) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return graph.select("nb").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def build_graph(
     df: DataFrame,
     k: int = 5,
@@ -371,36 +462,36 @@ def build_graph(
     sample: int = 24_000,
     leaf: int = 64,
     cell_rows: int = 4_000,
-    rounds: int = 2,
+    rounds: int = 12,
     delta: float = 0.02,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, graph): the tables of the index. Nodes as graph_nodes(); graph has (u, nb), k + 1 edges a node.
+    """(nodes, graph): the tables of the index. Nodes as graph_nodes(); graph has (u, nb), k + 1 edges a node, twice as many where cells are parted.
 
     sample: rows on which the forest is fitted (all rows are indexed). rounds: most rounds of descent; a
-    round that adds less than ``delta`` edges a node is the last.
+    round that changes less than ``delta`` of the edges is the last.
     """
+    if trees > TREES:
+        raise ValueError(f"a node's pack holds {TREES} trees at most")
     keep = k + 1
     rows = _rows(df, id_col, model_col, vec_col, width)
     models, x = sample_vectors(rows, width, sample)
     forest = build_forest(models, x, trees, leaf)
     heads = cut(graph_nodes(rows, forest, width, k), "knn-nodes")
-    nodes = heads.where(F.col("rn") == 1)
-    mask = (1 << LEAF_BITS) - 1
-    cell = [
-        F.hash("mid", F.lit(t), F.shiftright("pack", LEAF_BITS * t).bitwiseAND(F.lit(mask))) for t in range(trees)
-    ]
-    cells = nodes.select("nid", "pack", "q", F.explode(F.array(*cell)).alias("cell"))
-    graph = cut(_merge(cell_graph(cells, width, keep, cell_rows), keep), "knn-graph")
-    count = None
+    whole = heads.where(F.col("rn") == 1).drop("id", "rn")
+    nodes = part_cells(whole, width, cell_rows, trees)
+    if nodes is not whole:
+        keep *= 2  # across parts the descent has all the work, and longer lists lead further
+    cells = nodes.select("nid", "pack", "q", F.explode(F.array(*cell_keys(trees))).alias("cell"))
+    graph = cut(_merge(cell_graph(cells, width, keep), keep), "knn-graph")
+    count = nodes.count()
     for _ in range(rounds):
         found = cut(new_pairs(graph, nodes, trees), "knn-pairs")
-        count = count or nodes.count()
-        if found.count() < delta * count:
-            break
-        better = cut(_merge(graph.unionByName(score_pairs(found, nodes, width)), keep), "knn-graph")
+        better = cut(_merge(followed(graph).unionByName(score_pairs(found, nodes, width)), keep), "knn-graph")
         drop(found)
         drop(graph)
         graph = better
+        if fresh_edges(graph) <= delta * keep * count:
+            break
     return heads, graph
 
 
@@ -526,7 +617,7 @@ def search(
     first = cut(first, "knn-queries")
     nodes = heads.where(F.col("rn") == 1).select("nid", "mid", "pack", "q")
     mask = (1 << LEAF_BITS) - 1
-    cell = lambda p: F.explode(F.array(*[F.hash("mid", F.lit(t), F.shiftright(p, LEAF_BITS * t).bitwiseAND(F.lit(mask))) for t in range(trees)]))
+    cell = lambda p: F.explode(F.array(*[F.hash("mid", F.lit(t), F.shiftright(p, CODE_BITS * t).bitwiseAND(F.lit(mask))) for t in range(trees)]))
     by_cell = W.partitionBy("cell").orderBy("nid")
     entries = nodes.select("nid", cell("pack").alias("cell")).withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= starts).select("nid", "cell")
     seen = first.select("qn", cell("qp").alias("cell")).join(entries, "cell").select("qn", "nid").distinct()
