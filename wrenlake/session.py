@@ -39,36 +39,57 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. A local session may leave it unset and gets a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if not known:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wrenlake-"))
         known = sc.getCheckpointDir()
     return known.rstrip("/")
 
 
-def cut(df: DataFrame, label: str = "table") -> DataFrame:
+#: shuffle files of a write go when it is over, not when the driver happens to collect its garbage
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     Cuts the lineage as a checkpoint does, but computes the rows once; a lost executor costs nothing,
-    as the table doesn't live on it.
+    as the table doesn't live on it. by: a column by which the rows are already hash-partitioned; the table is then
+    bucketed by it, and joins on it don't shuffle the table again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    name = f"wrenlake_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{name[9:]}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        if by is None:
+            df.write.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+        else:
+            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+            out = spark.table(name)
+            out._wrenlake_table = name
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out._wrenlake_path = path  # for drop()
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table that cut() wrote, once nothing reads it any more."""
-    path = getattr(df, "_wrenlake_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote, once nothing reads them any more."""
+    for df in tables:
+        name, path = getattr(df, "_wrenlake_table", None), getattr(df, "_wrenlake_path", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path:
+            sc = df.sparkSession.sparkContext
+            hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
