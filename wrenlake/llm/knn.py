@@ -9,6 +9,7 @@ Plan, with N vectors and k neighbours:
 3. NN-descent: the graph joins itself on the middle node. Of the neighbours of neighbours only pairs that
    never shared a cell, and that some edge of the last round leads to, are new; their vectors are fetched
    by two joins and both ends keep their best. Rounds end when less than ``delta`` of the edges change.
+   Nodes and graph are bucketed by node, so a round moves edges and pairs, never the two tables.
 
 A cell that holds more than ``cell_rows`` rows is parted by a tree of its own, fitted on a bounded sample
 of its rows while they stream past. Its parts are cells of their own: a pair of two parts has not met.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from wrenlake.session import cut, drop
 
 SCALE = 32767
-EDGE = np.dtype([("v", "<i8"), ("pack", "<i8"), ("s", "<f4")])
+#: an edge: the neighbour, its cells, the similarity and the number of its ids
+EDGE = np.dtype([("v", "<i8"), ("pack", "<i8"), ("s", "<f4"), ("n", "u1")])
+GRAPH = "u long, pack long, n int, nb binary"
 TREES = 2
 LEAF_BITS = 20
 #: a tree's code in pack: the leaf and above it the part, 0 for a leaf that is whole
@@ -325,15 +328,14 @@ def part_cells(nodes: DataFrame, width: int, cell_rows: int, trees: int, seed: i
     sorted_rows = rows.repartition("cell").sortWithinPartitions("cell", F.xxhash64("nid"), "nid").select("cell", "t", "nid", "rows", "q")
     added = sorted_rows.mapInArrow(parts, "nid long, add long").groupBy("nid").agg(F.sum("add").alias("add"))
     parted = nodes.join(added, "nid", "left").withColumn("pack", F.col("pack").bitwiseOR(F.coalesce("add", F.lit(0)))).drop("add")
-    return cut(parted, "knn-parted")
+    return cut(parted, "knn-parted", "nid")
 
 
 def cell_graph(cells: DataFrame, width: int, keep: int) -> DataFrame:
-    """(u, nb): the best neighbours of every node inside each of its cells, exactly."""
+    """(u, pack, n, nb): the best neighbours of every node inside each of its cells, exactly."""
 
     def knn(table: pa.Table) -> pa.Table:
-        nid = table.column("nid").to_numpy()
-        pack = table.column("pack").to_numpy()
+        nid, pack, n = (table.column(c).to_numpy() for c in ("nid", "pack", "n"))
         x = from_blobs(table.column("q"), width)
         k = min(keep, len(nid) - 1)
         us, es = [], []
@@ -343,60 +345,80 @@ def cell_graph(cells: DataFrame, width: int, keep: int) -> DataFrame:
             s[np.arange(len(here)), here] = -2
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             e = np.empty(best.size, EDGE)
-            e["v"], e["pack"], e["s"] = nid[best].ravel(), pack[best].ravel() | FRESH, np.take_along_axis(s, best, 1).ravel()
+            e["v"], e["pack"], e["s"], e["n"] = nid[best].ravel(), pack[best].ravel() | FRESH, np.take_along_axis(s, best, 1).ravel(), n[best].ravel()
             us.append(np.repeat(nid[here], k))
             es.append(e)
         u, e = (np.concatenate(us), np.concatenate(es)) if us else (np.zeros(0, "i8"), np.zeros(0, EDGE))
         u, e = _best(u, e, keep)
         u, nb = _as_rows(u, e)
-        return pa.table({"u": pa.array(u, pa.int64()), "nb": nb})
+        order = np.argsort(nid)
+        at = order[np.searchsorted(nid, u, sorter=order)] if len(u) else np.zeros(0, "i8")
+        return pa.table({"u": pa.array(u, pa.int64()), "pack": pa.array(pack[at], pa.int64()), "n": pa.array(n[at], pa.int32()), "nb": nb})
 
-    return cells.groupBy("cell").applyInArrow(knn, "u long, nb binary")
+    return cells.groupBy("cell").applyInArrow(knn, GRAPH)
 
 
-def _merge(lists: DataFrame, keep: int) -> DataFrame:
-    """Rows (u, nb) of several sources to one row for each u with its best edges."""
-    gathered = lists.groupBy("u").agg(F.collect_list("nb").alias("nbs"))
+def _edges(nb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All edges of a column of lists, and the number of edges of each list."""
+    if len(nb) == 0:
+        return np.zeros(0, EDGE), np.zeros(0, "i8")
+    offsets = np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]
+    return np.frombuffer(_bytes_of(nb), EDGE), np.diff(offsets) // EDGE.itemsize
+
+
+def first_graph(lists: DataFrame, keep: int) -> DataFrame:
+    """One row a node with the best edges of all its cells."""
+    gathered = lists.groupBy("u").agg(F.first("pack").alias("pack"), F.first("n").alias("n"), F.collect_list("nb").alias("nbs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nbs = b.column("nbs")
-            flat = nbs.flatten()
-            owner = np.repeat(b.column("u").to_numpy(), np.diff(nbs.offsets.to_numpy()))
-            e = np.frombuffer(_bytes_of(flat), EDGE)
-            sizes = np.diff(np.frombuffer(flat.buffers()[1], "<i4")[flat.offset : flat.offset + len(flat) + 1]) if len(flat) else np.zeros(0, "i8")
-            u, e = _best(np.repeat(owner, sizes // EDGE.itemsize), e, keep)
-            u, nb = _as_rows(u, e)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), nb], ["u", "nb"])
+            owner = np.repeat(np.arange(b.num_rows), np.diff(b.column("nbs").offsets.to_numpy()))
+            e, sizes = _edges(b.column("nbs").flatten())
+            at, e = _best(np.repeat(owner, sizes), e, keep)
+            at, nb = _as_rows(at, e)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("u", "pack", "n")), nb], ["u", "pack", "n", "nb"])
+
+    return gathered.mapInArrow(merge, GRAPH)
 
-    return gathered.mapInArrow(merge, "u long, nb binary")
+
+def better_graph(graph: DataFrame, found: DataFrame, keep: int) -> DataFrame:
+    """The graph with the edges (u, nb) of ``found`` where they are better; only these are fresh."""
+    more = found.groupBy("u").agg(F.collect_list("nb").alias("nbs"))
+    both = graph.join(more, "u", "left").select("u", "pack", "n", F.concat(F.array("nb"), F.coalesce("nbs", F.array().cast("array<binary>"))).alias("nbs"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.diff(b.column("nbs").offsets.to_numpy())
+            e, sizes = _edges(b.column("nbs").flatten())
+            e = e.copy()
+            old = np.zeros(len(sizes), bool)
+            old[np.r_[0, np.cumsum(counts)[:-1]].astype("i8")] = True  # the first list is the node's own
+            e["pack"][np.repeat(old, sizes)] &= ~FRESH
+            at, e = _best(np.repeat(np.repeat(np.arange(b.num_rows), counts), sizes), e, keep)
+            at, nb = _as_rows(at, e)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("u", "pack", "n")), nb], ["u", "pack", "n", "nb"])
+
+    return both.mapInArrow(merge, GRAPH)
 
 
 # ---------------------------------------------------------------- descent
 
 
-def new_pairs(graph: DataFrame, nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(lo, hi): neighbours of neighbours by at least one fresh edge that never met in a cell, each pair once."""
+def new_pairs(graph: DataFrame, trees: int = TREES) -> DataFrame:
+    """(lo, hi): neighbours of neighbours by at least one fresh edge that never met in a cell, each pair once, partitioned by lo."""
 
     def out_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nb = b.column("nb")
-            e = np.frombuffer(_bytes_of(nb), EDGE)
-            sizes = np.diff(np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]) // EDGE.itemsize if len(nb) else np.zeros(0, "i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(e["v"]), pa.array(np.repeat(b.column("u").to_numpy(), sizes)), pa.array(np.repeat(b.column("pack").to_numpy(), sizes) | (e["pack"] & FRESH))],
-                ["v", "u", "pack"],
-            )
+            e, sizes = _edges(b.column("nb"))
+            u, p = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("u", "pack"))
+            yield pa.RecordBatch.from_arrays([pa.array(e["v"]), pa.array(u), pa.array(p | (e["pack"] & FRESH))], ["v", "u", "pack"])
 
     code = (1 << CODE_BITS) - 1
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nb = b.column("nb")
-            e = np.frombuffer(_bytes_of(nb), EDGE)
-            sizes = np.diff(np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]) // EDGE.itemsize if len(nb) else np.zeros(0, "i8")
-            u = np.repeat(b.column("u").to_numpy(), sizes)
-            p = np.repeat(b.column("pack").to_numpy(), sizes)
+            e, sizes = _edges(b.column("nb"))
+            u, p = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("u", "pack"))
             met = (u == e["v"]) | ((p | e["pack"]) & FRESH == 0)
             for t in range(trees):
                 met |= ((p ^ e["pack"]) >> (CODE_BITS * t)) & code == 0
@@ -404,10 +426,10 @@ def new_pairs(graph: DataFrame, nodes: DataFrame, trees: int = TREES) -> DataFra
             both = np.unique(np.stack([np.minimum(u, w), np.maximum(u, w)], axis=1), axis=0) if len(u) else np.zeros((0, 2), "i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], ["lo", "hi"])
 
-    packs = nodes.select(F.col("nid").alias("u"), "pack")
-    edges = graph.join(packs, "u").mapInArrow(out_edges, "v long, u long, pack long")
+    edges = graph.mapInArrow(out_edges, "v long, u long, pack long")
     middle = graph.select(F.col("u").alias("v"), "nb")
-    return edges.join(middle, "v").select("u", "pack", "nb").mapInArrow(pairs, "lo long, hi long").distinct()
+    met = edges.join(middle, "v").select("u", "pack", "nb").mapInArrow(pairs, "lo long, hi long")
+    return met.repartition("lo").distinct()
 
 
 def score_pairs(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -416,39 +438,27 @@ def score_pairs(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = np.einsum("ij,ij->i", from_blobs(b.column("q_lo"), width), from_blobs(b.column("q_hi"), width))
-            lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
-            e = np.empty(2 * len(lo), EDGE)
-            e["v"], e["pack"], e["s"] = np.r_[hi, lo], np.r_[b.column("p_hi").to_numpy(), b.column("p_lo").to_numpy()] | FRESH, np.r_[s, s]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[lo, hi]), _blobs(e)], ["u", "nb"])
+            of = {c: b.column(c).to_numpy() for c in ("lo", "hi", "p_lo", "p_hi", "n_lo", "n_hi")}
+            e = np.empty(2 * len(s), EDGE)
+            e["v"], e["pack"], e["s"], e["n"] = np.r_[of["hi"], of["lo"]], np.r_[of["p_hi"], of["p_lo"]] | FRESH, np.r_[s, s], np.r_[of["n_hi"], of["n_lo"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[of["lo"], of["hi"]]), _blobs(e)], ["u", "nb"])
 
-    lo = nodes.select(F.col("nid").alias("lo"), F.col("pack").alias("p_lo"), F.col("q").alias("q_lo"))
-    hi = nodes.select(F.col("nid").alias("hi"), F.col("pack").alias("p_hi"), F.col("q").alias("q_hi"))
+    lo = nodes.select(F.col("nid").alias("lo"), F.col("pack").alias("p_lo"), F.col("n").alias("n_lo"), F.col("q").alias("q_lo"))
+    hi = nodes.select(F.col("nid").alias("hi"), F.col("pack").alias("p_hi"), F.col("n").alias("n_hi"), F.col("q").alias("q_hi"))
     return pairs.join(lo, "lo").join(hi, "hi").mapInArrow(score, "u long, nb binary")
 
 
-def followed(graph: DataFrame) -> DataFrame:
-    """``graph`` with no edge fresh."""
-
-    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nb = b.column("nb")
-            e = np.frombuffer(_bytes_of(nb), EDGE).copy()
-            e["pack"] &= ~FRESH
-            offsets = np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1] if len(nb) else np.zeros(1, "<i4")
-            made = pa.Array.from_buffers(pa.binary(), len(nb), [None, pa.py_buffer((offsets - offsets[0]).astype("<i4")), pa.py_buffer(e)])
-            yield pa.RecordBatch.from_arrays([b.column("u"), made], ["u", "nb"])
-
-    return graph.mapInArrow(clear, "u long, nb binary")
-
-
-def fresh_edges(graph: DataFrame) -> int:
-    """The number of edges that the descent has not followed."""
+def fresh_edges(graph: DataFrame) -> tuple[int, int]:
+    """The number of edges that the descent has not followed, and of all edges."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(np.count_nonzero(np.frombuffer(_bytes_of(b.column("nb")), EDGE)["pack"] & FRESH)) for b in batches)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+        fresh = edges = 0
+        for b in batches:
+            e = _edges(b.column("nb"))[0]
+            fresh, edges = fresh + int(np.count_nonzero(e["pack"] & FRESH)), edges + len(e)
+        yield pa.RecordBatch.from_arrays([pa.array([fresh], pa.int64()), pa.array([edges], pa.int64())], ["fresh", "edges"])
 
-    return graph.select("nb").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return tuple(graph.select("nb").mapInArrow(count, "fresh long, edges long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("fresh", "edges")]).first())
 
 
 def build_graph(
@@ -462,13 +472,12 @@ def build_graph(
     sample: int = 24_000,
     leaf: int = 64,
     cell_rows: int = 4_000,
-    rounds: int = 12,
     delta: float = 0.02,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes, graph): the tables of the index. Nodes as graph_nodes(); graph has (u, nb), k + 1 edges a node, twice as many where cells are parted.
+    """(nodes, graph): the tables of the index. Nodes as graph_nodes(); graph has (u, pack, n, nb), k + 1 edges a node, twice as many where cells are parted.
 
-    sample: rows on which the forest is fitted (all rows are indexed). rounds: most rounds of descent; a
-    round that changes less than ``delta`` of the edges is the last.
+    sample: rows on which the forest is fitted (all rows are indexed). The descent goes on, however many rounds
+    it takes, until one changes less than ``delta`` of the edges; lists only get better, so it ends.
     """
     if trees > TREES:
         raise ValueError(f"a node's pack holds {TREES} trees at most")
@@ -476,22 +485,21 @@ def build_graph(
     rows = _rows(df, id_col, model_col, vec_col, width)
     models, x = sample_vectors(rows, width, sample)
     forest = build_forest(models, x, trees, leaf)
-    heads = cut(graph_nodes(rows, forest, width, k), "knn-nodes")
+    heads = cut(graph_nodes(rows, forest, width, k), "knn-nodes", "nid")
     whole = heads.where(F.col("rn") == 1).drop("id", "rn")
     nodes = part_cells(whole, width, cell_rows, trees)
     if nodes is not whole:
         keep *= 2  # across parts the descent has all the work, and longer lists lead further
-    cells = nodes.select("nid", "pack", "q", F.explode(F.array(*cell_keys(trees))).alias("cell"))
-    graph = cut(_merge(cell_graph(cells, width, keep), keep), "knn-graph")
-    count = nodes.count()
-    for _ in range(rounds):
-        found = cut(new_pairs(graph, nodes, trees), "knn-pairs")
-        better = cut(_merge(followed(graph).unionByName(score_pairs(found, nodes, width)), keep), "knn-graph")
-        drop(found)
+    cells = nodes.select("nid", "pack", "n", "q", F.explode(F.array(*cell_keys(trees))).alias("cell"))
+    graph = cut(first_graph(cell_graph(cells, width, keep), keep), "knn-graph", "u")
+    fresh, edges = fresh_edges(graph)
+    while fresh > delta * edges:
+        better = cut(better_graph(graph, score_pairs(new_pairs(graph, trees), nodes, width), keep), "knn-graph", "u")
         drop(graph)
         graph = better
-        if fresh_edges(graph) <= delta * keep * count:
-            break
+        fresh, edges = fresh_edges(graph)
+    if nodes is not whole:
+        drop(nodes)
     return heads, graph
 
 
@@ -499,21 +507,18 @@ def build_graph(
 
 
 def edges_of(graph: DataFrame) -> DataFrame:
-    """(u, v, sim, place): the graph's edges one a row; place counts from 1."""
+    """(u, n_u, v, n_v, sim, place, before): the graph's edges one a row; place counts from 1, before the ids of better neighbours."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nb = b.column("nb")
-            e = np.frombuffer(_bytes_of(nb), EDGE)
-            sizes = np.diff(np.frombuffer(nb.buffers()[1], "<i4")[nb.offset : nb.offset + len(nb) + 1]) // EDGE.itemsize if len(nb) else np.zeros(0, "i8")
-            start = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, "i8")
-            place = np.arange(len(e)) - np.repeat(start, sizes) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column("u").to_numpy(), sizes)), pa.array(e["v"]), pa.array(e["s"].astype("f8")), pa.array(place.astype("i4"))],
-                ["u", "v", "sim", "place"],
-            )
+            e, sizes = _edges(b.column("nb"))
+            start = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]].astype("i8"), sizes) if len(sizes) else np.zeros(0, "i8")
+            total = np.r_[0, np.cumsum(e["n"].astype("i8"))]
+            u, n = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("u", "n"))
+            columns = [u, n, e["v"], e["n"].astype("i4"), e["s"].astype("f8"), (np.arange(len(e)) - start + 1).astype("i4"), (total[:-1] - total[start]).astype("i4")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "n_u", "v", "n_v", "sim", "place", "before"])
 
-    return graph.mapInArrow(rows, "u long, v long, sim double, place int")
+    return graph.mapInArrow(rows, "u long, n_u int, v long, n_v int, sim double, place int, before int")
 
 
 def similar_pairs(
@@ -532,12 +537,9 @@ def similar_pairs(
     table gives no rows. Extra columns are ignored.
     """
     heads, graph = build_graph(df, k, id_col, model_col, vec_col, width, **options)
-    sizes = heads.where(F.col("rn") == 1).select(F.col("nid").alias("v"), F.col("n").alias("n_v"))
-    own = heads.where(F.col("rn") == 1).select(F.col("nid").alias("u"), F.col("n").alias("n_u"))
-    edges = edges_of(graph).where(F.col("place") <= k).join(sizes, "v").join(own, "u")
-    before = F.coalesce(F.sum("n_v").over(W.partitionBy("u").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges_of(graph).where(F.col("place") <= k)
     edges = (
-        edges.withColumn("take", F.least(F.col("n_v"), F.lit(k + 1) - F.col("n_u") - before))
+        edges.withColumn("take", F.least(F.col("n_v"), F.lit(k + 1) - F.col("n_u") - F.col("before")))
         .where(F.col("take") > 0)
         .select(
             F.least("u", "v").alias("lo"),
@@ -545,6 +547,7 @@ def similar_pairs(
             F.when(F.col("u") < F.col("v"), F.col("take")).alias("of_hi"),
             F.when(F.col("u") > F.col("v"), F.col("take")).alias("of_lo"),
         )
+        .repartition("lo")
         .groupBy("lo", "hi")
         .agg(F.coalesce(F.max("of_hi"), F.lit(0)).alias("of_hi"), F.coalesce(F.max("of_lo"), F.lit(0)).alias("of_lo"))
     )
@@ -601,13 +604,12 @@ def search(
     trees: int = TREES,
     beam: int = 12,
     starts: int = 24,
-    hops: int = 6,
 ) -> DataFrame:
     """(query, id, sim): greedy search of the graph of ``df`` for vectors that need not be in it.
 
     A query starts at ``starts`` nodes of its own cells, then goes on from its best ``beam`` nodes to their
-    neighbours, all queries together in one join a hop, until no query's best nodes change or ``hops`` are
-    made. Of copies the smallest ids come first. Unusable queries have no rows.
+    neighbours, all queries together in one join a hop, until no query's best nodes change. Of copies the
+    smallest ids come first. Unusable queries have no rows.
     """
     rows = _rows(df, id_col, model_col, vec_col, width)
     models, x = sample_vectors(rows, width, sample)
@@ -634,14 +636,12 @@ def search(
     best = W.partitionBy("qn").orderBy(F.desc("sim"), "nid")
     edges = edges_of(graph).select(F.col("u").alias("nid"), "v")
     front = cut(scored(seen).withColumn("p", F.row_number().over(best)).where(F.col("p") <= keep).select("qn", "nid", "sim", F.lit(True).alias("fresh")), "knn-front")
-    for _ in range(hops):
+    while not front.where("fresh").isEmpty():
         reached = front.where("fresh").join(edges, "nid").select("qn", F.col("v").alias("nid")).distinct().join(front.select("qn", "nid"), ["qn", "nid"], "left_anti")
         both = front.withColumn("fresh", F.lit(False)).unionByName(scored(reached).withColumn("fresh", F.lit(True)))
         new = cut(both.withColumn("p", F.row_number().over(best)).where(F.col("p") <= keep).drop("p"), "knn-front")
         drop(front)
         front = new
-        if front.where("fresh").isEmpty():
-            break
     hits = front.join(heads.select("nid", "id", "rn"), "nid").where(F.col("rn") <= k)
     order = W.partitionBy("qn").orderBy(F.desc(F.round("sim", 6)), "id")
     hits = hits.withColumn("p", F.row_number().over(order)).where(F.col("p") <= k).select("qn", "id", "sim")
