@@ -7,7 +7,7 @@ Plan, with N vectors and k neighbours:
 2. A forest of hyperplane trees, fitted on a bounded sample, puts each node into one cell per tree. The
    neighbours inside each cell are exact and form the first graph.
 3. NN-descent: the graph joins itself on the middle node. Of the neighbours of neighbours only pairs that
-   never shared a cell, and that some edge of the last round leads to, are new; their vectors are fetched
+   never shared a cell (ends of two edges in a row, or of two edges of one node), and that some edge of the last round leads to, are new; their vectors are fetched
    by two joins and both ends keep their best. Rounds end when less than ``delta`` of the edges change.
    Nodes and graph are bucketed by node, so a round moves edges and pairs, never the two tables.
 
@@ -32,11 +32,10 @@ SCALE = 32767
 #: an edge: the neighbour, its cells, the similarity and the number of its ids
 EDGE = np.dtype([("v", "<i8"), ("pack", "<i8"), ("s", "<f4"), ("n", "u1")])
 GRAPH = "u long, pack long, n int, nb binary"
-TREES = 2
-LEAF_BITS = 20
-#: a tree's code in pack: the leaf and above it the part, 0 for a leaf that is whole
-PART_BITS = 11
-CODE_BITS = LEAF_BITS + PART_BITS
+TREES = 3
+#: a tree's code in pack: the leaf, or of a leaf that is parted a hash of leaf and part
+CODE_BITS = 20
+PARTS = 2**10
 #: set in an edge's pack until the descent has followed it
 FRESH = 1 << (TREES * CODE_BITS)
 PART_SAMPLE = 4096
@@ -105,7 +104,7 @@ def build_forest(models: list, vectors: np.ndarray, trees: int = TREES, leaf: in
     return forest
 
 
-def _build_tree(x: np.ndarray, leaf: int, rng: np.random.Generator, most: int = 2 ** (LEAF_BITS - 1)) -> tuple:
+def _build_tree(x: np.ndarray, leaf: int, rng: np.random.Generator, most: int = 2 ** (CODE_BITS - 1)) -> tuple:
     normals, thresholds, children = [], [], []
     leaves = 0
     todo = [(np.arange(len(x)), -1, 0)]
@@ -173,14 +172,16 @@ def leaves_of(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def sample_vectors(rows: DataFrame, width: int, n: int) -> tuple[list, np.ndarray]:
-    """At most ``n`` rows, those of the smallest hashes of their ids: the same rows at every run."""
-    taken = (
-        rows.withColumn("h", F.xxhash64("id"))
-        .orderBy("h", "id")
-        .limit(n)
-        .select("model", "embedding")
-        .toArrow()
-    )
+    """At most ``n`` rows, those of the smallest hashes of their ids: the same rows at every run.
+
+    The rows are counted first, so that only those under a bar, about n in all, go to the task that orders them.
+    """
+    count = rows.select("id").count()
+    bar = -(2**63) + int(2**64 * min(1.0, 1.1 * n / max(1, count)))
+    hashed = rows.withColumn("h", F.xxhash64("id"))
+    if bar < 2**63:
+        hashed = hashed.where(F.col("h") < bar)
+    taken = hashed.orderBy("h", "id").limit(n).select("model", "embedding").toArrow()
     emb = taken.column("embedding").combine_chunks()
     if len(emb) == 0:
         return [], np.zeros((0, width))
@@ -273,7 +274,8 @@ def part_cells(nodes: DataFrame, width: int, cell_rows: int, trees: int, seed: i
     parts them and all others. No task holds more of a cell than that.
     """
     keys = cell_keys(trees)
-    tagged = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key.alias("cell")) for t, key in enumerate(keys)]))
+    code = lambda t: F.shiftright("pack", CODE_BITS * t).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    tagged = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key.alias("cell"), code(t).alias("code")) for t, key in enumerate(keys)]))
     sizes = nodes.select(tagged.alias("c")).groupBy("c.cell").agg(F.count(F.lit(1)).alias("rows"))
     large = cut(sizes.where(F.col("rows") > cell_rows), "knn-large")
     if large.isEmpty():
@@ -287,48 +289,51 @@ def part_cells(nodes: DataFrame, width: int, cell_rows: int, trees: int, seed: i
             x = unit_rows(q[:PART_SAMPLE], width)[0].astype("f4")
             # half of what a cell may hold, as parts differ in size
             leaf = max(8, int(len(x) * cell_rows / (2 * rows)))
-            made = _build_tree(x, leaf, np.random.default_rng([seed, cell & 0xFFFFFFFF]), 2 ** (PART_BITS - 1))
+            made = _build_tree(x, leaf, np.random.default_rng([seed, cell & 0xFFFFFFFF]), PARTS)
             counts = np.bincount(leaves_of(made, x), minlength=len(made[0]) + 1)
             # a leaf that no hyperplane parts is dealt out by hash
             deal = np.maximum(1, np.ceil(counts * rows / len(x) / (2 * cell_rows)).astype("i8"))
             return made, deal
 
-        def placed(cell: int, t: np.ndarray, nid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        def placed(t: np.ndarray, nid: np.ndarray, old: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             at = leaves_of(tree, unit_rows(q, width)[0].astype("f4"))
             first = np.r_[0, np.cumsum(ways)[:-1]]
-            part = 1 + (first[at] + nid % ways[at]) % (2**PART_BITS - 1)
-            add = part << (LEAF_BITS + CODE_BITS * t)
-            return pa.RecordBatch.from_arrays([pa.array(nid), pa.array(add)], ["nid", "add"])
+            part = 1 + first[at] + nid % ways[at]
+            # a code that two cells share makes one cell of them, which loses nothing
+            new = ((old << 32 | part).astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CODE_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(nid), pa.array((new.astype("i8") ^ old) << (CODE_BITS * t))], ["nid", "change"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal tree, ways, held
             if held:
-                t, nid, q = (np.concatenate(c) for c in zip(*held))
+                t, nid, old, q = (np.concatenate(c) for c in zip(*held))
                 if tree is None:
                     tree, ways = fitted(q, now, rows)
                 held = []
-                yield placed(now, t, nid, q)
+                yield placed(t, nid, old, q)
 
         for b in batches:
             if b.num_rows == 0:
                 continue
-            cell, t, nid, n = (b.column(c).to_numpy() for c in ("cell", "t", "nid", "rows"))
+            cell, t, nid, old, n = (b.column(c).to_numpy() for c in ("cell", "t", "nid", "code", "rows"))
             q = np.frombuffer(_bytes_of(b.column("q")), "<i2").reshape(-1, width)
             cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(cell)]):
                 if now != cell[lo]:
                     yield from flush()
                     now, tree, ways, rows = int(cell[lo]), None, None, int(n[lo])
-                held.append((t[lo:hi].astype("i8"), nid[lo:hi], q[lo:hi]))
+                held.append((t[lo:hi].astype("i8"), nid[lo:hi], old[lo:hi], q[lo:hi]))
                 if tree is not None or sum(len(h[1]) for h in held) >= PART_SAMPLE:
                     yield from flush()
         yield from flush()
 
-    rows = nodes.select("nid", "q", tagged.alias("c")).select("nid", "q", "c.t", "c.cell").join(F.broadcast(large), "cell")
-    sorted_rows = rows.repartition("cell").sortWithinPartitions("cell", F.xxhash64("nid"), "nid").select("cell", "t", "nid", "rows", "q")
-    added = sorted_rows.mapInArrow(parts, "nid long, add long").groupBy("nid").agg(F.sum("add").alias("add"))
-    parted = nodes.join(added, "nid", "left").withColumn("pack", F.col("pack").bitwiseOR(F.coalesce("add", F.lit(0)))).drop("add")
-    return cut(parted, "knn-parted", "nid")
+    rows = nodes.select("nid", "q", tagged.alias("c")).select("nid", "q", "c.t", "c.cell", "c.code").join(large, "cell")
+    sorted_rows = rows.repartition("cell").sortWithinPartitions("cell", F.xxhash64("nid"), "nid").select("cell", "t", "nid", "code", "rows", "q")
+    added = sorted_rows.mapInArrow(parts, "nid long, change long").groupBy("nid").agg(F.bit_xor("change").alias("change"))
+    parted = nodes.join(added, "nid", "left").withColumn("pack", F.col("pack").bitwiseXOR(F.coalesce("change", F.lit(0)))).drop("change")
+    out = cut(parted, "knn-parted", "nid")
+    drop(large)
+    return out
 
 
 def cell_graph(cells: DataFrame, width: int, keep: int) -> DataFrame:
@@ -426,10 +431,24 @@ def new_pairs(graph: DataFrame, trees: int = TREES) -> DataFrame:
             both = np.unique(np.stack([np.minimum(u, w), np.maximum(u, w)], axis=1), axis=0) if len(u) else np.zeros((0, 2), "i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], ["lo", "hi"])
 
+    def siblings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, sizes = _edges(b.column("nb"))
+            after = np.cumsum(sizes)
+            rest = np.repeat(after, sizes) - np.arange(len(e)) - 1  # edges of the same list behind each edge
+            i = np.repeat(np.arange(len(e)), rest)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest) + i + 1
+            x, y = e[i], e[j]
+            met = (x["pack"] | y["pack"]) & FRESH == 0
+            for t in range(trees):
+                met |= ((x["pack"] ^ y["pack"]) >> (CODE_BITS * t)) & code == 0
+            lo, hi = np.minimum(x["v"], y["v"])[~met], np.maximum(x["v"], y["v"])[~met]
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"])
+
     edges = graph.mapInArrow(out_edges, "v long, u long, pack long")
     middle = graph.select(F.col("u").alias("v"), "nb")
-    met = edges.join(middle, "v").select("u", "pack", "nb").mapInArrow(pairs, "lo long, hi long")
-    return met.repartition("lo").distinct()
+    chains = edges.join(middle, "v").select("u", "pack", "nb").mapInArrow(pairs, "lo long, hi long")
+    return chains.unionByName(graph.select("nb").mapInArrow(siblings, "lo long, hi long")).repartition("lo").distinct()
 
 
 def score_pairs(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -469,6 +488,7 @@ def build_graph(
     vec_col: str = "embedding",
     width: int = 64,
     trees: int = TREES,
+    keep: int | None = None,
     sample: int = 24_000,
     leaf: int = 64,
     cell_rows: int = 4_000,
@@ -481,7 +501,7 @@ def build_graph(
     """
     if trees > TREES:
         raise ValueError(f"a node's pack holds {TREES} trees at most")
-    keep = k + 1
+    keep = keep or k + 1
     rows = _rows(df, id_col, model_col, vec_col, width)
     models, x = sample_vectors(rows, width, sample)
     forest = build_forest(models, x, trees, leaf)
@@ -618,7 +638,7 @@ def search(
     first = q.where(F.col("rn") == 1).select(F.col("nid").alias("qn"), "mid", F.col("pack").alias("qp"), F.col("q").alias("qq"))
     first = cut(first, "knn-queries")
     nodes = heads.where(F.col("rn") == 1).select("nid", "mid", "pack", "q")
-    mask = (1 << LEAF_BITS) - 1
+    mask = (1 << CODE_BITS) - 1
     cell = lambda p: F.explode(F.array(*[F.hash("mid", F.lit(t), F.shiftright(p, CODE_BITS * t).bitwiseAND(F.lit(mask))) for t in range(trees)]))
     by_cell = W.partitionBy("cell").orderBy("nid")
     entries = nodes.select("nid", cell("pack").alias("cell")).withColumn("n", F.row_number().over(by_cell)).where(F.col("n") <= starts).select("nid", "cell")
