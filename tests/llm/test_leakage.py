@@ -38,18 +38,35 @@ def test_found(spark):
 
 
 def test_pruning_loses_nothing():
-    index = leakage.Index([(i, leakage.tokens(t)) for i, t, _, _ in ITEMS if t])
-    ids = [index.vocab.get(w, len(index.vocab)) for w in leakage.tokens(f"{noise(300)} {ITEMS[4][1]} {noise(100)}")]
+    """The levels give exactly the parts that scoring every part gives."""
     import numpy as np
 
-    arr = np.array(ids, "i8")
-    for share in (0.5, 0.75, 1.0, 2.0):
-        want = {}
-        for s in range(0, max(1, len(ids) - leakage.STRIDE), leakage.STRIDE):
-            score = index.impact[arr[s : s + leakage.PASSAGE]].astype("f8").sum(axis=0)
-            for d in np.flatnonzero(score >= share * index.least - 1e-6):
-                want.setdefault(int(d), []).append(s)
-        assert index.candidates(arr, share) == want
+    parts = [p for i, t, _, _ in ITEMS if t for p in leakage.parts_of(i, [leakage.tokens(x + ".") for x in t.split(".") if x], 12)]
+    rnd = np.random.default_rng(1)
+    for share in (0.3, 0.75, 1.0, 1.6):
+        index = leakage.Index(parts, share)
+        score = np.zeros((len(index.vocab) + 1, len(parts)))
+        bars = np.zeros(len(parts))
+        for level in index.levels:
+            size = level.blocks * leakage.BLOCK
+            for key, v in zip(level.keys[:-1], level.impacts[:-1]):
+                score[key // size, level.parts[key % size]] = v
+            bars[level.parts] = level.bars[: level.n]
+        passages = rnd.integers(0, len(index.vocab) + 1, (200, leakage.PASSAGE))
+        passages[0, :20] = index.ids[0][:20]
+        want = {(r, d) for r in range(200) for d in np.flatnonzero(score[passages[r]].sum(axis=0) >= bars - 1e-6)}
+        got = {(int(r), int(d)) for level in index.levels for rs, ds in level.above(passages) for r, d in zip(rs, ds)}
+        assert got == want and want
+
+
+def test_short_items_and_runs_across_sentences(spark):
+    long = ITEMS[1][1].split()
+    items = spark.createDataFrame([*ITEMS, (70, "Zorvin keeps nine blue ledgers daily.", "en", 1), (71, "Merrin why?", "en", 1)], "item_id long, item_text string, lang string, x int")
+    docs = spark.createDataFrame(
+        [(1, f"{noise()} Zorvin keeps nine blue ledgers daily. {noise()}"), (2, f"{noise()} Zorvin keeps nine red ledgers daily. {noise()}"), (3, f"{noise()} {' '.join(long[15:29])} {noise()}"), (4, f"{noise()} merrin, why {noise()}")],
+        "doc_id long, text string",
+    )
+    assert sorted((r.doc_id, r.item_id) for r in leakage.leaked(docs, items).collect()) == [(1, 70), (3, 2), (4, 71)]
 
 
 def test_empty(spark):
