@@ -46,3 +46,23 @@ def test_merge_and_rematch(spark):
 
 def test_empty_and_null(spark):
     assert links(spark, []) == set() and links(spark, [None, None]) == set() and links(spark, ["Kordalis", "Kordalis"]) == set()
+
+
+def test_richer_profiles_fit_more(spark):
+    # the last spelling has the typo of one and the abbreviation of another, and fits no single spelling
+    rows = ["Kordalis Vent Materials", "Kordlais Vent Materials", "Kordalis Vent Mtrls", "Kordlais Vent Mtrls", "Kordalis Vent Foods"]
+    got = links(spark, rows)
+    assert ("Kordalis Vent Mtrls", "Kordlais Vent Mtrls") in got and ("Kordalis Vent Materials", "Kordlais Vent Mtrls") in got
+    assert not any("Foods" in a + b for a, b in got)
+    assert names.fits_places(["kordlais", "mtrls"], [["kordalis", "kordlais"], ["materials"]]) and not names.fits_places(["kordlais", "foods"], [["kordalis", "kordlais"], ["materials"]])
+
+
+def test_long_single_and_capital_names(spark):
+    long = "Upper Ordal Valley Public Water Supply Authority"
+    rows = [long, long.replace("Water", "Watet"), "Simensel", "Simnsel", "BOSCH", "Bosch", "Mabe Bio.", "Mabewick Biotech"]
+    assert links(spark, rows) == {tuple(sorted(p)) for p in [(rows[0], rows[1]), (rows[2], rows[3]), (rows[4], rows[5]), (rows[6], rows[7])]}
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([("Kordalis Foods",), ("kordalis foods",), ("Other Labs",), (None,), ("-",)], "company string")
+    assert {tuple(r) for r in names.entities(df).collect()} == {("Kordalis Foods", "Kordalis Foods", 2), ("kordalis foods", "Kordalis Foods", 2), ("Other Labs", "Other Labs", 1)}

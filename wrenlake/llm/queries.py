@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(*[read_table(spark, sf_dir, t).select("company") for t in ("contacts", "jobs")])
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its employer: one row a string instead of all pairs."""
+    return names.entities(*[read_table(spark, sf_dir, t).select("company") for t in ("contacts", "jobs")])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = residue.found(read_table(spark, sf_dir, "scraped_profiles"), read_table(spark, sf_dir, "scraped_ats_jobs"))
     return out.select("source_table", "scrape_id")
@@ -61,7 +66,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_search, p4_found, p5_found, p5_shares, p6_found, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p3_found, p3_search, p4_found, p5_found, p5_shares, p6_found, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
