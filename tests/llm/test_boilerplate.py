@@ -15,16 +15,18 @@ def page(i: int) -> str:
 
 
 def test_lines(spark):
-    pages = [("t", str(i), page(i), 1) for i in range(8)] + [("t", "none", None, 1), ("t", "empty", "", 1), ("t", "blank", " \n\r\n", 1)]
-    df = spark.createDataFrame(pages, "table string, key string, text string, line int")
+    pages = [("t", str(i), page(i), 1) for i in range(12)] + [("t", "none", None, 1), ("t", "empty", "", 1), ("t", "blank", " \n\r\n", 1)]
+    # postings without a page round them, as half of any corpus has; from these the furniture of the others is told
+    bare = [("bare", str(i), "\n".join([*POSTING, f"Case {i} is about the work of the team in the north and of the people there."]), 1) for i in range(12)]
+    df = spark.createDataFrame(pages + bare, "table string, key string, text string, line int")
     names = spark.createDataFrame([("Data Analyst", "Port Alder"), (None, None)], "title string, location string")
-    rows = boilerplate.classify(df.select("table", "key", "text"), names).collect()
-    assert {r.key for r in rows} == {str(i) for i in range(8)}
+    rows = boilerplate.classify(df.select("table", "key", "text"), names).where("table = 't'").collect()
+    assert {r.key for r in rows} == {str(i) for i in range(12)}
     lines = page(0).split("\n")
     got = {lines[r.line_no - 1]: r.content for r in rows if r.key == "0"}
     assert all(got[x] for x in POSTING), [x for x in POSTING if not got[x]]
     assert not any(got[x] for x in [*TOP, *BOTTOM])
-    assert len(rows) == 8 * sum(1 for x in lines if x.strip())
+    assert len(rows) == 12 * sum(1 for x in lines if x.strip())
 
 
 def test_empty_tables(spark):

@@ -2,20 +2,23 @@
 
 Plan, two passes over lines as blocks:
 
-1. Each line gets its length, its stop-word density and its link density (items between menu separators,
-   labels known from menus of the whole corpus, calls to click). Clear lines are decided: dense prose and
-   list items are content, link-dense lines and page furniture are not.
-2. Short lines left open inherit from the nearest decided lines before and after them. What their form
-   inherits over the whole corpus goes first, so that a heading is judged by all its places and not by
-   one; where the corpus has no clear answer the line's own neighbours decide.
-
-The lines of a page are ordered by a window over its own key; all vocabularies are aggregates of the
-corpus that salted joins bring back.
+1. Each line gets its length, its stop-word density and its link density (short items between menu separators, menu
+   marks). Dense prose and list items lean to content, link-dense lines to the page. No phrases are listed: what else
+   is furniture is learned from the company it keeps. Lines of one form (figures and names masked) are
+   taken together over the whole corpus; furniture stands on pages with other furniture, content also on pages
+   without any. The likelihood of a form's places under both, and the measures of the line itself, decide
+   clear lines. Link-dense lines are the seeds, and a few rounds let what they taught teach on.
+2. Lines left open inherit from the nearest decided lines before and after them.
+
+The lines of a page are ordered by a window over its own key; forms and pages are aggregates of the corpus
+that joins bring back, hot forms salted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,133 +31,87 @@ from wrenlake.session import cut
 SEPARATOR = r"(?U)\s*[|›»]\s*|\s+[/>·]\s+|\s{2,}"
 MENU_MARK = r"(?U)^\s*(?:[›»☰≡]|\[ ?\]|[-–•*]\s*(?=\[ ?\]))\s*"
 BULLET = r"(?U)^\s*(?:[•*–·▪◦‣-]|\d{1,2}[.)])\s+"
-
-# Page furniture in the four languages of the pages, as calls to click and fixed notices.
-FURNITURE = (
-    # consent
-    r"\bcookies?\b.{0,80}(?:accept|reject|settings|allow|agree|prefer|essential|akzept|ablehn|accepter|refus|acept|rechaz|partner|vendors|choices|visits|site|website|browse)",
-    r"(?:accept|reject|allow|essential|agree|prefer|partners?|vendors|we use|wir verwenden|nous utilisons|usamos|utilizamos|consent).{0,80}\bcookies?\b",
-    r"\b(?:stores?|speicher\w*|conserven?t?|guarda\w*)\b.{0,40}\b(?:on your device|small files|auf ihrem gerät|sur votre appareil|en tu dispositivo|en su dispositivo|daten auf|des données|datos en)\b",
-    r"\bmanage (?:my |your )?(?:preferences|cookies|choices|consent)\b|\b(?:ok|okay),? (?:got it|verstanden|compris|entendido)\b|\bmeasuring visits\b",
-    r"\b(?:privacy|datenschutz|confidentialit[eé]|privacidad)\b.{0,40}\b(?:partners?|vendors|preferences|einstellungen|settings|choose|anzeigen|choix|socios)\b|datenschutz-einstellungen",
-    r"\b(?:g[eé]rer|configurar)\b.{0,30}\b(?:choix|preferencias|cookies)\b|do not sell",
-    # prompts to apply, save, share, sign in, subscribe
-    r"^(?:apply|jetzt bewerben|hier bewerben|postuler|candidater|solicitar|postular|inscribirse|aplicar)(?: now| here| today| online| with .{0,30}| for this (?:job|role)| maintenant| ahora| en ligne)?[ !.→»]*$",
-    r"^(?:save|merken|stelle merken|enregistrer|guardar|share|teilen|partager|compartir|print|drucken|imprimer|imprimir|e-?mail|follow|tweet|report|melden|signaler|denunciar)\b(?: this| diese| cette| esta)?(?: job| role| listing| page| stelle| offre| oferta| for later| empleo| us)?\b.{0,50}$",
-    r"\b(?:stelle|job|offre|oferta) (?:teilen|merken|melden|partager|compartir)\b|\bpartager cette offre|\bcompartir esta oferta",
-    r"\b(?:upload|drop|submit|send) (?:your|us your) (?:cv|r[eé]sum[eé])\b|\b(?:lebenslauf|cv|curr[ií]culum) (?:hochladen|d[eé]poser|subir)\b|\b(?:d[eé]posez|suba|sube|laden sie) (?:votre |su |tu |ihren )?(?:cv|curr[ií]culum|lebenslauf)\b",
-    r"\b(?:follow us|folgen sie uns|folge uns|suivez[- ]nous|s[ií]guenos)\b",
-    r"\bnewsletter\b|\b(?:sign up|subscribe|abonnieren|s['’]abonner|suscr[ií]b\w+)\b.{0,40}$",
-    r"^(?:sign|log) ?(?:in|out|up)\b.{0,40}$|^(?:anmelden|einloggen|connexion|se connecter|acceder|iniciar sesi[oó]n)$",
-    r"\b(?:join|join our|tritt|rejoignez|[uú]nete a).{0,25}\b(?:talent (?:pool|community|network)|talentpool|vivier)\b",
-    r"\brefer a friend\b|\bempfehlen sie (?:uns|einen)|\bparrainez\b|\brecomienda a\b",
-    r"\b(?:get|create|set up|receive|recib\w+|recevez|recevoir|cr[eé]e[zr]?|crea\w*|erhalten|erstellen)\b.{0,25}\b(?:alerts?|alertas?|alertes?|benachrichtigungen)\b|\bjobs per e-?mail\b|\balerte[s]? (?:e-?mail|emploi)|\balertas? de (?:empleo|ofertas)|\b(?:recevoir|recibir)\b.{0,30}\b(?:offres|ofertas|empleos)\b.{0,80}$|\bofertas? por correo\b|\boffres? par e-?mail\b",
-    # other openings and the way to them
-    r"\b(?:people|others|visitors) also (?:viewed|applied)\b|\brecently viewed\b|\bzuletzt angesehen\b|\bvus? r[eé]cemment\b|\bvistos? recientemente\b",
-    r"^(?:similar|related|more|other|ähnliche|weitere|offres|autres|ofertas|empleos|puestos|otras|m[aá]s)\b.{0,20}\b(?:jobs|roles|openings|positions|vacancies|stellen|similaires|offres|postes|similares|parecid[oa]s|empleos|ofertas|puestos)\b.{0,100}$",
-    r"^more from\b.{0,60}$|\bback to (?:all|the|search|results|list|overview)\b|\bzurück zur\b.{0,30}$|^retour (?:à|aux)\b.{0,40}$|^volver a(?:l|\b).{0,40}$",
-    r"\b(?:browse|explore|view|see|show) (?:all |more |other |our )?[\w.+#/ ]{0,40}\b(?:jobs|openings|roles|vacancies)\b.{0,30}$|not quite right\?",
-    r"\b(?:alle|toutes|todas|voir|ver) (?:unsere |nos |nuestras |les |las |todas las |toutes les )?(?:stellen|offres|ofertas)\b.{0,40}$",
-    r"\bsalary insights?\b|\bmembers only\b|\bgehaltsvergleich\b",
-    r"\bwatch the (?:film|video)\b|\b(?:film|video) ansehen\b|\b(?:voir|regarder|regardez) (?:le film|la vid[eé]o)\b|\bver (?:el|la) (?:pel[ií]cula|v[ií]deo)\b|\bmira el v[ií]deo\b",
-    # counters
-    r"^(?:posted|published|updated|vor \d+|publi[eé]|publicado|veröffentlicht|mis à jour|actualizado)\b.{0,60}(?:ago|days?|hours?|tag|jour|día|veröffentlicht|applicants|heures?|horas?).{0,40}$",
-    r"^[\d.,+ ]+\s?(?:people|persons?|personen|personnes|personas|applicants|candidates|bewerb\w+|candidats?|candidat(?:o|a)s|views|visitors)\b.{0,60}$",
-    r"^(?:page|seite|p[aá]gina)\s+\d+\s+(?:of|von|sur|de)\s+\d+$|^\d(?: \d+)* … \d+.{0,15}$|^(?:next|previous|weiter|suivant|siguiente)\b ?\W*$",
-    r"[★☆]|\brate this employer\b|\b(?:listing|page|ad) useful\?",
-    # legal and footer lines
-    r"^(?:©|\(c\)|copyright)\b?.{0,120}$|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits r[eé]serv[eé]s\b|\btodos los derechos reservados\b",
-    r"^powered by\b.{0,40}$|^version v?\d[\d.]*\b.{0,40}$|\bbuild \d+\b",
-    r"^[↑⇧⬆▲]|\b(?:back|nach|haut|volver|skip|zum|aller|ir)\b (?:to |de |au |a |al )?(?:top|oben|page|arriba|main content|content|inhalt|contenu|contenido)\b.{0,20}$",
-    r"^[☰≡]|^(?:menu|men[uú]|navigation|suche|search|recherche|buscar)$",
-    r"^(?:registered|registered office|registergericht|handelsregister|sitz der|rcs|siret|registro mercantil|inscrita en)\b.{0,100}$",
-    r"^(?:site ?map|sitemap|plan du site|mapa del sitio|imprint|impressum|mentions l[eé]gales|aviso legal|agb|terms|accessibility|barrierefreiheit)\b.{0,80}$",
-    r"^(?:privacy|datenschutz|confidentialit[eé]|privacidad)\b.{0,40}$",
-    r"\breport (?:a problem|this)\b|\bproblem melden\b|\bsignaler un probl[eè]me\b|\binformar de un problema\b",
-    r"^(?:english|deutsch|fran[cç]ais|español|en|de|fr|es)(?:\s*[|/·]\s*(?:english|deutsch|fran[cç]ais|español|italiano|en|de|fr|es|it))+$",
-    r"^[^.!?:]{3,80}, \d{1,5}[a-z]? [^.!?,:]{3,40}, [^.!?,:]{2,40}$",
-)
-# How lines of facts begin.
-FACTS = (
-    r"^(?:location|standort|arbeitsort|lieu|ubicaci[oó]n|lugar|place|office|team|department|abteilung|service|departamento)\s?:",
-    r"^(?:reference|ref\.?|job id|req(?:uisition)?|kennziffer|referenz|r[eé]f[eé]rence|referencia|stellennummer)\b.{0,12}[\w#]*\d",
-    r"^(?:apply by|apply before|deadline|closing date|bewerbung bis|bewerbungsfrist|bewerben bis|candidature avant|postuler avant|date limite|fecha l[ií]mite|solicitudes hasta|plazo)\b",
-    r"^(?:full|part)[- ]?time\b|^(?:vollzeit|teilzeit|temps (?:plein|partiel)|jornada (?:completa|parcial)|tiempo completo|contract|permanent|befristet|unbefristet|cdi|cdd)\b",
-    r"^(?:salary|pay|gehalt|salaire|r[eé]mun[eé]ration|salario|hours|arbeitszeit|horaires|horario|start|beginn)\b.{0,4}:",
-)
-_FURNITURE = "(?iu)" + "|".join(f"(?:{p})" for p in FURNITURE)
-_FACTS = "(?iu)" + "|".join(f"(?:{p})" for p in FACTS)
-
-
-def _label(line: Column) -> Column:
-    """The text of a menu entry: no menu mark, one kind of blank, lower case."""
-    return F.lower(collapse(F.regexp_replace(line, MENU_MARK, "")))
+_NAME = r"\p{Lu}[\p{L}&’'-]*"
+#: names within a line, and two or more words of a name that begin it
+NAMES = rf"(?<=\s){_NAME}(?:\s+(?:&\s+)?{_NAME})*+"
+FIRST_NAME = rf"^{_NAME}\s+(?:&\s+)?X\b(?!$)"
+#: what the measures of a line say about it before its form is asked, as log odds of furniture
+LINKS, ITEM, PROSE = 5.0, -5.0, -3.0
+#: log odds from which a line is decided
+CLEAR = 2.0
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(table, key, line_no, line, ...features) of pages (table, key, text): the first pass's measures."""
-    lines = pages.where(F.col("text").isNotNull()).select("table", "key", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    """(table, key, page, line_no, label, form, begin, lean, colon) of pages (table, key, text): the measures of each line."""
+    lines = pages.where(F.col("text").isNotNull()).select("table", "key", F.xxhash64("table", "key").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     lines = lines.withColumn("core", collapse(F.col("line"))).where(F.col("core") != "")
     items = F.filter(F.split(F.regexp_replace("line", r"(?U)^\s+|\s+$", ""), SEPARATOR), lambda x: x != "")
-    lines = lines.select("table", "key", (F.col("i") + 1).cast("long").alias("line_no"), "line", "core", items.alias("items"))
     words = F.size(F.split("core", " "))
+    lines = lines.withColumns({"items": items, "words": words, "stops": F.regexp_count("core", F.lit(STOP_RE)), "marked": F.col("line").rlike(MENU_MARK), "bullet": F.col("line").rlike(BULLET)})
     short_items = F.forall("items", lambda x: (F.length(x) <= 28) & ~x.rlike(r"[.!?]\s*$"))
-    lines = lines.withColumns(
-        {
-            "words": words,
-            "stops": F.regexp_count("core", F.lit(STOP_RE)),
-            "facts": F.col("core").rlike(_FACTS),
-            "bullet": F.col("line").rlike(BULLET) & ~F.col("line").rlike(MENU_MARK),
-            "marked": F.col("line").rlike(MENU_MARK),
-            "label": F.xxhash64(_label(F.col("line"))),
-            # a form: figures masked, capitalised words after the first one too
-            "form": F.xxhash64(F.regexp_replace(F.regexp_replace(F.regexp_replace("core", BULLET, ""), r"\d+", "0"), r"(?<=\s)\p{Lu}[\p{L}&’'-]*(?:\s+(?:&\s+)?\p{Lu}[\p{L}&’'-]*)*+", "X")),
-        }
-    )
-    linky = (F.size("items") >= 3) & short_items & ~F.col("facts") & (F.col("stops") <= F.size("items"))
-    return lines.withColumn("linky", linky)
+    links = F.col("marked") | ((F.size("items") >= 3) & short_items & (F.col("stops") <= F.size("items")))
+    density = F.col("stops") / F.col("words")
+    prose = ((F.col("words") >= 5) & (F.col("stops") >= 2) & (density >= 0.15)) | ((F.length("core") >= 110) & (density >= 0.1))
+    form = F.regexp_replace(F.regexp_replace(F.regexp_replace("core", BULLET, ""), r"\d+", "0"), NAMES, "X")
+    lines = lines.withColumn("form", F.regexp_replace(form, FIRST_NAME, "X"))
+    return lines.select(
+        "table", "key", "page", (F.col("i") + 1).cast("long").alias("line_no"),
+        F.xxhash64(F.lower("core")).alias("label"), F.xxhash64("form").alias("form"), F.xxhash64(F.substring_index("form", " ", 3), F.lit("begin")).alias("begin"),
+        F.when(links, LINKS).when(F.col("bullet"), ITEM).when(prose, PROSE).otherwise(0.0).alias("lean"), F.col("core").rlike(r"[:：]$").alias("colon"),
+    )
+
 
+def _titles(names: DataFrame) -> DataFrame:
+    return names.where(F.col("title").isNotNull()).select(F.xxhash64(F.lower(collapse(F.col("title")))).alias("label")).distinct().withColumn("title", F.lit(True))
 
-def menu_labels(lines: DataFrame, least: int = 2) -> DataFrame:
-    """(label, menu): labels that stand in menu lines of several pages."""
-    entry = lines.where("linky").select(F.explode("items").alias("x")).union(lines.where("marked").select("line"))
-    return entry.groupBy(F.xxhash64(_label(F.col("x"))).alias("label")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("label", F.lit(True).alias("menu"))
 
+def _grouped(lines: DataFrame, least: int) -> DataFrame:
+    """``lines`` and group: the form where it has ``least`` places, else its first three words where these have, else null."""
+    for c in ("form", "begin"):
+        often = lines.where(~F.col("title")).groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(c, F.lit(True).alias(f"often_{c}"))
+        lines = salted_join(lines, often, [c], F.col("page"))
+    group = F.when(F.col("title"), None).when(F.col("often_form"), F.col("form")).when(F.col("often_begin"), F.col("begin"))
+    return lines.withColumn("group", group).drop("often_form", "often_begin", "form", "begin")
 
-def _values(df: DataFrame, col: str, flag: str) -> DataFrame:
-    return df.where(F.col(col).isNotNull()).select(F.xxhash64(F.lower(collapse(F.col(col)))).alias("label")).distinct().withColumn(flag, F.lit(True))
 
+def furniture_odds(lines: DataFrame, rounds: int) -> DataFrame:
+    """(group, odds): log odds that a group of lines is furniture, by how often other furniture stands on its pages.
 
-def classify(pages: DataFrame, names: DataFrame) -> DataFrame:
+    lines: (page, group, lean). Where hardly any page is without furniture nothing is learned and all odds are 0.
+    """
+    places = lines.groupBy("page", "group").agg(F.count(F.lit(1)).alias("n"), F.avg("lean").alias("lean"))
+    places = cut(places, "page-places")
+    odds = None
+    for _ in range(rounds):
+        marked = places if odds is None else salted_join(places, odds, ["group"], F.col("page"))
+        is_furniture = F.col("lean") + (F.lit(0.0) if odds is None else F.coalesce("odds", F.lit(0.0))) > 0
+        marked = marked.select("page", "group", "n", "lean", is_furniture.cast("int").alias("is"))
+        pages = marked.groupBy("page").agg(F.sum(F.col("is") * F.col("n")).alias("all"))
+        beside = marked.join(pages, "page").withColumn("hits", F.when(F.col("all") > F.col("is"), F.col("n")).otherwise(0))
+        sums = beside.groupBy("group").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum(F.col("lean") * F.col("n")).alias("lean"), F.max("is").alias("is"))
+        sums = cut(sums.withColumn("lean", F.col("lean") / F.col("n")), "page-groups")
+        share = lambda which: F.sum(F.when(which, F.col("hits"))) / F.sum(F.when(which, F.col("n")))
+        own, other = sums.agg(share(F.col("is") == 1), share(F.col("lean") <= PROSE / 2)).first()
+        # shares of places beside furniture: of furniture and of content; never quite 0 or 1
+        own, other = (min(0.98, max(0.02, x if x is not None else 0.5)) for x in (own, other))
+        hit, miss = (math.log(own / other), math.log((1 - own) / (1 - other))) if own - other > 0.05 else (0.0, 0.0)
+        odds = sums.where(F.col("group").isNotNull()).select("group", (F.col("hits") * hit + (F.col("n") - F.col("hits")) * miss).alias("odds"))
+    return odds
+
+
+def classify(pages: DataFrame, names: DataFrame, least: int = 8, rounds: int = 4) -> DataFrame:
     """(table, key, line_no, content) for every non-blank line.
 
-    pages: (table, key, text); names: (title, location), the known titles and places of openings. A page
-    of one line, a page without content and a very long page are treated like any other; null texts have
-    no lines.
+    pages: (table, key, text); names: (title), the known titles of openings. least: places from which a form is judged as
+    one; rounds: how often what was learned is used to learn. A page of one line, a page without content and a
+    very long page are treated like any other; null texts have no lines.
     """
-    lines = cut(blocks(pages), "page-blocks")
-    lines = salted_join(lines, menu_labels(lines), ["label"], F.col("key"))
-    lines = salted_join(lines, _values(names, "title", "title"), ["label"], F.col("key"))
-    lines = salted_join(lines, _values(names, "location", "place"), ["label"], F.col("key"))
-    has = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("menu", "title", "place")}
-    density = F.col("stops") / F.col("words")
-    prose = (F.col("words") >= 5) & (F.col("stops") >= 2) & (density >= 0.15)
-    long_prose = (F.length("core") >= 110) & (density >= 0.1)
-    furniture = (F.length("core") <= 260) & F.col("core").rlike(_FURNITURE)
-    # staff mentioned by name in a sentence of some length is no notice, whatever words it uses
-    sentence = F.col("core").rlike(r"(?iu)\b(?:go to|wenden sie sich an|adress\w+ à|dir[ií]j\w+ a)\b")
-    decided = (
-        F.when(has["title"], F.lit(None).cast("boolean"))
-        .when(F.col("facts"), True)
-        .when(has["place"], False)
-        .when(furniture & ~sentence, False)
-        .when(F.col("marked"), False)
-        .when(F.col("bullet") & ~has["menu"], True)
-        .when(F.col("linky"), False)
-        .when(long_prose | prose, True)
-        .when(has["menu"], False)
-    )
-    lines = lines.select("table", "key", "line_no", "form", has["title"].alias("title"), decided.alias("decided"), (F.col("core").rlike(r"[:：]$")).alias("colon"))
+    lines = salted_join(cut(blocks(pages), "page-blocks"), _titles(names), ["label"], F.col("page")).drop("label")
+    lines = cut(_grouped(lines.withColumn("title", F.coalesce("title", F.lit(False))), least), "page-lines")
+    lines = salted_join(lines, furniture_odds(lines, rounds), ["group"], F.col("page"))
+    odds = F.col("lean") + F.coalesce("odds", F.lit(0.0))
+    decided = F.when(F.col("title"), None).when(odds > CLEAR, False).when(odds < -CLEAR, True)
+    lines = lines.select("table", "key", "line_no", "title", "colon", decided.alias("decided"))
     page = W.partitionBy("table", "key").orderBy("line_no")
     lines = lines.withColumns(
         {
@@ -165,21 +122,11 @@ def classify(pages: DataFrame, names: DataFrame) -> DataFrame:
             "next_decided": F.lead("decided").over(page),
         }
     )
-    lines = cut(lines, "page-lines")
-    # what a form inherits over all its places: content from what follows it counts as much as from what goes before
-    vote = F.when(F.col("after").isNull(), F.coalesce(F.col("before").cast("double"), F.lit(0.0))).otherwise(
-        (F.coalesce(F.col("before"), F.lit(False)).cast("double") + F.col("after").cast("double")) / 2
-    )
-    open_lines = F.col("decided").isNull() & ~F.col("title")
-    forms = lines.where(open_lines).groupBy("form").agg(F.avg(vote).alias("vote"), F.count(F.lit(1)).alias("places"))
-    lines = salted_join(lines, forms.where(F.col("places") >= 5), ["form"], F.col("key"))
     own = F.when(F.col("after").isNull(), F.coalesce("before", F.lit(False))).when(F.col("before") == F.col("after"), F.col("after")).otherwise(F.coalesce(F.col("after"), F.lit(False)) | F.col("colon"))
     content = (
         F.when(F.col("decided").isNotNull(), F.col("decided"))
         # the title of the posting is the last title before it begins
         .when(F.col("title"), ~F.col("begun") & ~F.col("next_title") & F.coalesce("after", F.lit(True)) & F.coalesce("next_decided", F.lit(True)))
-        .when(F.col("vote") >= 0.6, True)
-        .when(F.col("vote") <= 0.4, False)
         .otherwise(own)
     )
     return lines.select("table", "key", "line_no", content.alias("content"))
@@ -193,6 +140,6 @@ def found(ats_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
     none = residue.page_residue(ats_jobs, "scrape_id", "jd_text", "page_url").select(F.col("key").alias("scrape_id"))
     a = ats_jobs.join(none, "scrape_id", "left_anti").select(F.lit("scraped_ats_jobs").alias("table"), F.col("scrape_id").cast("string").alias("key"), F.col("jd_text").alias("text"))
     b = jobs.select(F.lit("jobs").alias("table"), F.col("id").cast("string").alias("key"), F.col("jd_text").alias("text"))
-    names = ats_jobs.select("title", "location").unionByName(jobs.select("title", "location"))
+    names = ats_jobs.select("title").unionByName(jobs.select("title"))
     lines = classify(a.unionByName(b), names)
     return lines.where(~F.col("content")).select(F.col("table").alias("source_table"), F.col("key").alias("record_id"), "line_no")
