@@ -37,3 +37,10 @@ def test_empty(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     selection, shares = mixture.mix(docs, targets)
     assert selection.count() == 0 and {r.actual_share for r in shares.collect()} == {0.0}
+
+
+def test_unreachable_total_raises(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 10) for i in range(20)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError, match="at most"):
+        mixture.mix(docs, targets, total=10_000_000)

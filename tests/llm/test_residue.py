@@ -37,3 +37,14 @@ def test_pages(spark):
     assert got[11] == "script" and got[12] == "filler" and got[15] == "placeholder" and 13 not in got and 14 not in got
     assert got[20] == got[30] == "filler" and 31 not in got
     assert residue.page_residue(df.limit(0), "id", "t", "u").count() == 0
+
+
+def test_long_lines_are_judged_by_sentence(spark):
+    page = "404 Page not found. " + " ".join(f"Go back to list {i} of the shop or see what else is in it." for i in range(2)) + " The page you requested could not be found on this server. It may have been removed or renamed by its owner, or the address that you typed into the field above has a mistake in it somewhere near the end."
+    lorem = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur."
+    talk = f"{PROSE} {PROSE} The old page had lorem ipsum in it, and we are the ones who put real text in its place for the people."
+    df = spark.createDataFrame([(1, lorem, "https://a.example/"), (2, talk, "https://a.example/"), (3, "x" * 300 + " {{name}}", "https://a.example/"), (4, "404 Page not found. Nothing here. " + "xxxx yyyy. " * 40, "https://f.example/")], "id long, t string, u string")
+    assert {r.key: r.reason for r in residue.page_residue(df, "id", "t", "u").collect()} == {1: "filler", 3: "placeholder", 4: "error"}
+    assert {r.key: r.reason for r in residue.field_residue(df, "id", "t").collect()}[1] == "filler"
+    assert len(page) > residue.MESSAGE_CHARS
+    assert {r.reason for r in residue.field_residue(spark.createDataFrame([(1, page)], "id long, t string"), "id", "t").collect()} == {"error"}

@@ -69,7 +69,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, st
     nature; more than 10,000 raise). total: the size of the mix in tokens; by default the largest at which every
     source that has documents can give its share. Sources of the targets without documents are reported with
     nothing used and their share goes to the others in proportion; documents of other sources, of null
-    sources and without tokens are left out. Repeated documents are separate ones.
+    sources and without tokens are left out. Repeated documents are separate ones. A total beyond what the repeats
+    allow raises, as does an iteration that doesn't come within ``tolerance`` in ``steps``.
     """
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select("source", "target_share", "max_repeats").limit(10_001).collect()}
     if len(wanted) > 10_000:
@@ -85,7 +86,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, st
         return empty, _report(known, empty, have, {}, spark)
     scale = sum(v[0] for v in live.values())
     most = min(have[s][1] * v[1] / (v[0] / scale) for s, v in live.items())
-    size = min(total or most, most)
+    if total is not None and total > most * (1 + 1e-9):
+        raise ValueError(f"at these shares and repeats the mix has {most:.0f} tokens at most, not {total:.0f}")
+    size = most if total is None else float(total)
     need = {s: v[0] / scale * size for s, v in live.items()}
     mean = {s: have[s][1] / have[s][0] for s in live}
     lam = dict.fromkeys(live, 0.0)
@@ -106,6 +109,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, st
             lam[s] = step if step is not None and low[s] < step < high[s] else (low[s] + high[s]) / 2
         if not open_:
             break
+    else:
+        raise RuntimeError(f"the rates didn't settle in {steps} steps")
     rated = cut(_rated(docs, lam, mean, whole, spark), "mix-rates")
     copies = _round(rated, need, spark)
     selection = copies.where("copies > 0").select("doc_id", "source", "tokens", "copies")

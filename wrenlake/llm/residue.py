@@ -8,7 +8,7 @@ one explode, one aggregation by (host, line), one salted join, one aggregation b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenlake.functions.text import collapse
@@ -118,6 +118,8 @@ STOP_WORDS = (
 
 STOP_RE = r"(?i)(?<![\p{L}])(?:" + "|".join(sorted(set(STOP_WORDS))) + r")(?![\p{L}])"
 LOREM = r"(?i)\b(?:lorem|ipsum)\b"
+#: the least share of function words in prose of the four languages; Latin filler has some of them too (et, in, est)
+LATIN_STOPS = 0.15
 DECOR = r"(?U)^[\s*#=_~•·>»⚠!|—–-]+|[\s*#=_~•·<«|—–-]+$"
 
 
@@ -129,48 +131,60 @@ def _whole(patterns: tuple[str, ...]) -> str:
     return r"(?iu)^" + REGRET + r"(?:" + "|".join(f"(?:{p})" for p in patterns) + r")[\s.!…]*$"
 
 
-#: the longest line or field that can be a message or filler as a whole
+#: a line or field that is longer is judged sentence by sentence
 MESSAGE_CHARS = 260
 
 
+def pieces(line: Column) -> Column:
+    """(piece, whole): the line, or the sentences of a long one."""
+    long = F.filter(F.split(line, r"(?<=[.!?。！？])(?U)\s+"), lambda x: x != "")
+    cut_up = F.when(F.length(line) > MESSAGE_CHARS, F.transform(long, lambda x: F.struct(x.alias("piece"), F.lit(False).alias("whole"))))
+    return F.coalesce(cut_up, F.array(F.struct(line.alias("piece"), F.lit(True).alias("whole"))))
+
+
+def _latin(line: Column) -> Column:
+    """Hardly any function words."""
+    return F.regexp_count(line, F.lit(STOP_RE)) < LATIN_STOPS * F.size(F.split(line, " "))
+
+
 def with_evidence(df: DataFrame, line: str) -> DataFrame:
-    """``df`` and kind: 'placeholder', 'filler', 'error', 'script' or null for one line or short field.
+    """``df`` and kind: 'placeholder', 'filler', 'error', 'script' or null for one line, field or sentence of these.
 
-    The steps are columns of their own, so that each pattern runs once a line.
+    A sentence of a longer line (``whole`` false) is no filler, as it may talk about some. The steps are columns of their own, so that each pattern runs once a line.
     """
     df = df.withColumn("_core", F.regexp_replace(collapse(F.col(line)), DECOR, ""))
     df = df.withColumns(
         {
             "_first": F.when(F.length("_core") <= MESSAGE_CHARS, F.regexp_extract(F.col("_core"), r"^(.*?)(?:\s*[|.]\s*\1)++$", 1)).otherwise(""),
-            "_short": F.length("_core") <= MESSAGE_CHARS,
             # any mark of a placeholder at all; most lines have none and are done
             "_marked": F.col(line).rlike(r"[{}%@\[\]$<>]|__|(?i)undefined|null\b|\bnan\b|\bnone\b|\bnil\b"),
         }
     )
     df = df.withColumn("_bare", F.when(F.col("_marked"), F.regexp_replace(F.regexp_replace(F.col(line), QUOTED, " "), EXAMPLE, " ")))
-    core, short = F.col("_core"), F.col("_short")
+    core = F.col("_core")
     parts = F.filter(F.split(core, r"(?U)\s*[|·@]\s*|\s+(?:at|bei|chez|en)\s+|\s+[-–—]\s+"), lambda x: x != "")
     unset = F.col("_marked") & (F.length(core) <= 120) & F.exists(parts, lambda x: x.rlike(UNSET_FIELD))
     placeholder = F.col("_marked") & (F.col("_bare").rlike(PLACEHOLDER) | F.col("_bare").rlike(UNSET) | unset)
     one = F.when(F.col("_first") != "", F.col("_first")).otherwise(core)
-    filler = short & one.rlike(_whole(FILLER)) & ~core.rlike(r"(?i)\b(?:lead|engineer|manager|analyst|writer|designer|developer)\b")
-    latin = core.rlike(LOREM) & ~core.rlike(STOP_RE)
+    filler = F.col("whole") & one.rlike(_whole(FILLER)) & ~core.rlike(r"(?i)\b(?:lead|engineer|manager|analyst|writer|designer|developer)\b")
+    latin = core.rlike(LOREM) & _latin(core)
     # all notices about scripts name them; most lines are done with that
     scripts = core.rlike(r"(?i)script|skript|\bjs\b")
     kind = (
-        F.when(short & scripts & core.rlike(_whole(SCRIPT)), "script")
-        .when(short & core.rlike(_whole(ERROR)), "error")
+        F.when(scripts & core.rlike(_whole(SCRIPT)), "script")
+        .when(core.rlike(_whole(ERROR)), "error")
         .when(placeholder, "placeholder")
         .when(filler | latin, "filler")
     )
-    return df.withColumn("kind", kind).drop("_core", "_first", "_short", "_marked", "_bare")
+    return df.withColumn("kind", kind).drop("_core", "_first", "_marked", "_bare")
 
 
 def page_lines(pages: DataFrame, key: str, text: str, url: str) -> DataFrame:
-    """(key, host, line, norm): the non-blank lines of each page; norm is lower case with digits masked."""
+    """(key, host, line, whole, norm): the non-blank lines of each page, long ones by sentence; norm is lower case with digits masked."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^\w+://([^/?#:]+)", 1)), F.lit(""))
     one = pages.select(F.col(key).alias("key"), host.alias("host"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     lines = one.select("key", "host", F.xxhash64("text").alias("text_id"), F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
+    lines = lines.withColumn("p", F.explode(pieces(F.col("line")))).withColumns({"line": F.col("p.piece"), "whole": F.col("p.whole")}).drop("p")
     norm = F.lower(F.regexp_replace(F.regexp_replace(collapse(F.col("line")), DECOR, ""), r"\d+", "#"))
     return lines.withColumn("norm", norm).where(F.col("norm") != "")
 
@@ -189,9 +203,9 @@ def page_residue(pages: DataFrame, key: str, text: str, url: str, least: int = 3
     lines = with_evidence(page_lines(pages, key, text, url), "line")
     prose = (F.length("line") >= 40) & F.col("kind").isNull() & F.col("line").rlike(f"(?s){STOP_RE}.*{STOP_RE}")
     # words of lines that are, or may be, filler in invented Latin: a plain sentence without any function word
-    plain = (F.length("line") <= 2000) & F.col("line").rlike(r"[.!?]\s*$") & ~F.col("line").rlike(r"[^\p{L}\s,;.!?]")
+    plain = F.col("line").rlike(r"[.!?]\s*$") & ~F.col("line").rlike(r"[^\p{L}\s,;.!?]")
     sure = (F.col("kind") == "filler") & F.col("line").rlike(LOREM)
-    maybe = F.col("kind").isNull() & plain & ~F.col("line").rlike(STOP_RE)
+    maybe = F.col("kind").isNull() & plain & _latin(F.col("line"))
     words = F.when(sure | maybe, F.array_distinct(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}\s]", "")), r"(?U)\s+")))
     lines = lines.withColumn("words", F.filter(words, lambda w: w != ""))
     lines = cut(
@@ -227,13 +241,16 @@ def page_residue(pages: DataFrame, key: str, text: str, url: str, least: int = 3
 
 
 def field_residue(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, reason) for a short field, which has no boilerplate. Null and empty fields give no row."""
+    """(key, reason) for a field, which has no boilerplate. Null and empty fields give no row."""
     return (
         rows.select(F.col(key).alias("key"), F.col(text).alias("line"))
         .where(F.col("line").isNotNull())
+        .select("key", F.explode(pieces(F.col("line"))).alias("p"))
+        .select("key", F.col("p.piece").alias("line"), F.col("p.whole").alias("whole"))
         .transform(with_evidence, "line")
-        .select("key", F.col("kind").alias("reason"))
-        .where(F.col("reason").isNotNull())
+        .where(F.col("kind").isNotNull())
+        .groupBy("key")
+        .agg(F.min("kind").alias("reason"))
     )
 
 

@@ -141,26 +141,36 @@ _SCRIPTS = (
 )
 # A few words by which the language of a passage in Latin letters is told.
 _HINTS = {
-    "en": re.compile(r"\b(?:the|and|of|is|was|with|for|that|are|you|we|this|from|not)\b", re.I),
-    "de": re.compile(r"\b(?:der|die|das|und|ist|mit|für|nicht|ein|eine|wir|sie|dem|den|von|auf|im)\b", re.I),
-    "fr": re.compile(r"\b(?:le|la|les|des|et|est|pour|dans|une|un|nous|vous|sur|avec|du|au|pas)\b|\b[ldj]’", re.I),
-    "es": re.compile(r"\b(?:el|la|los|las|y|es|de|por|con|para|una|se|del|al|lo|que)\b", re.I),
+    "en": "the and of is was with for that are you we this from not",
+    "de": "der die das und ist mit für nicht ein eine wir sie dem den von auf im",
+    "fr": "le la les des et est pour dans une un nous vous sur avec du au pas",
+    "es": "el la los las y es de por con para una se del al lo que",
 }
+_OF_WORD = {w: [k for k, ws in _HINTS.items() if w in ws.split()] for ws in _HINTS.values() for w in ws.split()}
+_WORD = re.compile(r"\w+")
+_ELISION = re.compile(r"\b[ldj]’", re.I)
+_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿ\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 
 
 def tables_of(text: str, lang: str) -> list[list[tuple]]:
     """The cascade for a block: its script's or language's table, then the general one."""
-    letters = sum(c.isalpha() for c in text) or 1
-    for name, script in _SCRIPTS:
-        if script.search(text) and len(script.findall(text)) >= 0.3 * letters:
-            return [TABLES[name], TABLES["general"]]
-    votes = {k: len(p.findall(text)) + (0.5 if k == lang else 0) for k, p in _HINTS.items()}
+    mixed = not text.isascii() and _OTHER_SCRIPT.search(text) is not None
+    if mixed:
+        letters = sum(map(str.isalpha, text)) or 1
+        for name, script in _SCRIPTS:
+            if len(script.findall(text)) >= max(1, 0.3 * letters):
+                return [TABLES[name], TABLES["general"]]
+    votes = {k: 0.5 if k == lang else 0.0 for k in _HINTS}
+    for w in _WORD.findall(text.lower()):
+        for k in _OF_WORD.get(w, ()):
+            votes[k] += 1
+    if "’" in text:
+        votes["fr"] += len(_ELISION.findall(text))
     best = max(votes, key=lambda k: (votes[k], k == "en"))
     first = best if votes[best] > 0 else "en"
     out = [TABLES[first], TABLES["latin"]]
-    for name, script in _SCRIPTS:
-        if script.search(text):
-            out.append(TABLES[name])
+    if mixed:
+        out += [TABLES[name] for name, script in _SCRIPTS if script.search(text)]
     return [*out, TABLES["general"]]
 
 
@@ -237,16 +247,18 @@ def boundaries(text: str, lang: str) -> list[int]:
     """Offsets in the block after which a new sentence begins."""
     cascade = tables_of(text, lang)
     low = cascade[0] in (TABLES["de"], TABLES["ru"]) and "„" in text
-    at = {m.end() for m in (_CANDIDATE_LOW if low else _CANDIDATE).finditer(text)}
+    at = {m.end(): m.start() for m in (_CANDIDATE_LOW if low else _CANDIDATE).finditer(text)}
     if TABLES["th"] in cascade:
-        at |= {m.start() for m in _THAI_SPACE.finditer(text)}
+        at |= {m.start(): m.start() for m in _THAI_SPACE.finditer(text) if m.start() not in at}
+    rules = [r for table in cascade for r in table]
     out = []
     for p in sorted(at):
         if p >= len(text):
             continue
-        before, after = text[max(0, p - 48) : p], text[p : p + 90]
-        for decision, b, a in (r for table in cascade for r in table):
-            if b.search(before) and a.match(after):
+        # all of the marks, and before them more than the longest abbreviation or article with its number has
+        before = text[max(0, at[p] - 48) : p]
+        for decision, b, a in rules:
+            if a.match(text, p) and b.search(before):
                 if decision:
                     out.append(p)
                 break

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wrenlake.functions.text import let, utrim
+from wrenlake.functions.text import SPACE, let, utrim
 from wrenlake.llm.residue import STOP_RE
 from wrenlake.operators.skew import salted_join
 
-CLOSED = r"[.!?。！？।؟][\"'”’»›)\]」』]*$|\([^()\n]*\)$|\[[^\[\]\n]*\]$"
+CLOSED = r"[.!?。！？।؟][\"'”’»›)\]」』]*+$|\([^()\n]*+\)$|\[[^\[\]\n]*+\]$"
 ELLIPSIS = r"(?:…|\.\.\.)[\"'”’»)\]]*$"
 #: an end that always waits for more: separators, opening marks, half a tag or entity, half a character
 DANGLING = r"(?:[,;:—–/&<(\[{“«‹„=\\�-]|<[A-Za-z/][^<>\n]{0,40}|&[A-Za-z#0-9]{1,8}|\([^()\n]{0,80}|„[^“”\n]{0,200})$"
@@ -85,7 +85,7 @@ def known_lines(texts: DataFrame, least: int = 2) -> DataFrame:
     all_lines = F.split(utrim(F.col("text")), "\n", -1)
     lines = texts.where(F.col("text").contains("\n")).select(F.explode(let(all_lines, lambda ls: F.slice(ls, 1, F.size(ls) - 1))).alias("line"))
     lines = lines.select(utrim(F.col("line")).alias("line"))
-    return lines.where(F.length("line").between(1, 400)).groupBy(_template(F.col("line")).alias("template")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template", F.lit(True).alias("known"))
+    return lines.where(F.col("line") != "").groupBy(_template(F.col("line")).alias("template")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template", F.lit(True).alias("known"))
 
 
 def truncated(texts: DataFrame, rare: int = 2, share: float = 0.04) -> DataFrame:
@@ -101,18 +101,18 @@ def truncated(texts: DataFrame, rare: int = 2, share: float = 0.04) -> DataFrame
     limits = length_limits(rows)
     end = utrim(F.col("text"))
     line = utrim(F.substring_index(end, "\n", -1))
-    rows = rows.select("source", "key", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.substring(end, -240, 240).alias("tail"), line.alias("line"))
+    rows = rows.select("source", "key", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), line.alias("line"))
     rows = rows.withColumns(
         {
-            "elided": F.col("tail").rlike(ELLIPSIS),
-            "closed": F.col("tail").rlike(CLOSED),
-            "dangling": F.col("tail").rlike(DANGLING),
-            "word": _core(F.element_at(F.split(F.regexp_replace("tail", r"(?U)[\s.…\[\]]+$", ""), r"(?U)\s+"), -1)),
+            "elided": F.col("line").rlike(ELLIPSIS),
+            "closed": F.col("line").rlike(CLOSED),
+            "dangling": F.col("line").rlike(DANGLING),
+            "word": _core(F.element_at(F.split(F.rtrim(F.col("line"), F.lit(SPACE + ".…[]")), r"(?U)\s+"), -1)),
             # a line of sentences that stops without a mark
             "prose": F.col("line").rlike(r"[.!?]['\"”’»)]*\s+[“\"«(]?\p{Lu}") | ((F.regexp_count("line", F.lit(STOP_RE)) >= 6) & (F.length("line") >= 70)),
         }
     )
-    rows = rows.withColumn("template", F.when(F.col("prose") & ~F.col("closed"), _template(F.col("line")))).drop("tail", "line")
+    rows = rows.withColumn("template", F.when(F.col("prose") & ~F.col("closed"), _template(F.col("line")))).drop("line")
     rows = salted_join(rows, known_lines(texts), ["template"], F.col("key"))
     for unit in ("chars", "bytes"):
         of = limits.where(F.col("unit") == unit).select("source", F.col("len").alias(unit), F.col("n").alias(f"n_{unit}"), F.col("expected").alias(f"e_{unit}"))
@@ -152,7 +152,10 @@ def found(profiles: DataFrame, ats_jobs: DataFrame) -> DataFrame:
 
 
 def shares(profiles: DataFrame, ats_jobs: DataFrame) -> DataFrame:
-    """(source_table, source, texts, cut, cut_at_limit, share) by capture source and vendor."""
+    """(source_table, source, texts, cut, cut_at_limit, cut_by_words, share) by capture source and vendor.
+
+    cut_at_limit stand at a length limit of their source; cut_by_words are those whose last words alone show the cut.
+    """
     parts = []
     for name, df in _both(profiles, ats_jobs):
         total = df.where(F.col("text").isNotNull() & (utrim(F.col("text")) != "")).groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
@@ -160,6 +163,6 @@ def shares(profiles: DataFrame, ats_jobs: DataFrame) -> DataFrame:
         parts.append(
             total.join(cut_rows, "source", "left")
             .na.fill(0, ["cut", "cut_at_limit"])
-            .select(F.lit(name).alias("source_table"), "source", "texts", "cut", "cut_at_limit", (F.col("cut") / F.col("texts")).alias("share"))
+            .select(F.lit(name).alias("source_table"), "source", "texts", "cut", "cut_at_limit", (F.col("cut") - F.col("cut_at_limit")).alias("cut_by_words"), (F.col("cut") / F.col("texts")).alias("share"))
         )
     return parts[0].unionByName(parts[1])
