@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 TARGET, OVERLAP = 700, 100
 # Section names that need no capitals to be headers.
 HEADERS = frozenset(
-    "summary;profile;about;objective;skills;technical skills;core skills;experience;work experience;professional experience;employment;employment history;projects;"
-    "education;certifications;certificates;awards;publications;languages;interests;volunteering;references;contact".split(";")
+    "summary;professional summary;career summary;profile;objective;experience;work experience;professional experience;employment;employment history;education;"
+    "skills;core skills;key skills;technical skills;core competencies;certifications;licenses and certifications;projects;key projects;publications;awards;"
+    "achievements;languages;interests;volunteer experience;references".split(";")
 )
 _DASH = re.compile(r"\s[—–|·]\s|\s-\s")
 
@@ -26,8 +27,8 @@ def is_header(line: str) -> bool:
     if bare.lower() in HEADERS:
         return True
     head = _DASH.split(bare, maxsplit=1)[0].strip()
-    words = [w for w in head.split() if re.search(r"\w", w)]
-    return bool(re.search("[A-Z]", head)) and head == head.upper() and len(words) <= 7 and (len(words) >= 2 or len(" ".join(words)) >= 6)
+    words = head.split()
+    return bool(re.search("[A-Z]", head)) and head == head.upper() and len(words) <= 7 and (len(words) >= 2 or len(head) >= 6)
 
 
 def passages(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenlake.operators.skew import salted_join
 from wrenlake.session import cut, drop
 
 
@@ -25,7 +26,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
         hop = labels.join(near, labels["id"] == near["a"], "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        moved = hop.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("old"))
+        moved = salted_join(hop, jump, ["low"], F.col("id")).select("id", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("old"))
         new = cut(moved, "cc-labels")
         done = new.where("component <> old").isEmpty()
         drop(labels)

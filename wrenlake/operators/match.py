@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wrenlake.functions.text import char_trigrams, collapse, trigram_similarity
+from wrenlake.functions.text import char_trigrams, collapse, utrim
 from wrenlake.session import cut
 
 # Legal suffix words that normalisation removes anywhere in a name.
-SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "plc", "group", "holdings")
+SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "gmbh", "plc", "co", "sa", "ag", "bv", "nv", "pvt", "pte")
 
 
 def normalise_company(c: Column) -> Column:
     """Lower case, legal suffix words gone, punctuation to blanks, blanks collapsed."""
-    bare = F.regexp_replace(F.lower(c), r"\b(?:" + "|".join(SUFFIXES) + r")\b\.?", " ")
+    bare = F.regexp_replace(F.lower(c), r"\b(?:" + "|".join(SUFFIXES) + r")\b", "")
     return collapse(F.regexp_replace(bare, r"[.,()|·•@]", " "))
 
 
@@ -37,8 +37,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = 0.4) -> DataFr
     in the name that contains it. So frequent trigrams never form buckets. Null and blank names match
     nothing; names of one or two characters match every name that holds them.
     """
-    l = left.select("a").where(F.trim("a") != "").distinct()
-    r = right.select("b").where(F.trim("b") != "").distinct()
+    l = left.select("a").where(utrim(F.col("a")) != "").distinct()
+    r = right.select("b").where(utrim(F.col("b")) != "").distinct()
     names = l.select(F.col("a").alias("x")).union(r.select("b")).distinct()
     low = names.withColumn("low", F.lower("x"))
     grams = low.select("x", F.explode(char_trigrams(F.col("low"))).alias("g"))
@@ -61,9 +61,13 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = 0.4) -> DataFr
         return l.join(p.withColumnRenamed("x", "a"), "a").join(r.join(q.withColumnRenamed("x", "b"), "b"), "g").select("a", "b")
 
     pairs = joined(by_sim, by_sim).union(joined(rarest, inner)).union(joined(inner, rarest)).distinct()
-    sim = trigram_similarity(F.col("a"), F.col("b"))
+    # each name's trigrams are made once, not once a pair
+    sets = names.join(ranked.select("x", F.transform("gs", lambda s: F.xxhash64(s["g"])).alias("g")), "x", "left").select("x", F.coalesce("g", F.array().cast("array<bigint>")).alias("g"))
+    pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("ga", "gb"))).withColumn("all", F.size("ga") + F.size("gb") - F.col("both"))
     held = F.contains(F.lower("a"), F.lower("b")) | F.contains(F.lower("b"), F.lower("a"))
-    return pairs.withColumn("sim", sim).where(held | (F.col("sim") >= least))
+    sim = F.when(F.col("all") > 0, F.col("both") / F.col("all")).otherwise(0.0)
+    return pairs.withColumn("sim", sim).where(held | (F.col("sim") >= least)).select("a", "b", "sim")
 
 
 def strict_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

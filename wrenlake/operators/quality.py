@@ -11,15 +11,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenlake.functions.text import let, ngrams, numbers_in, sentences
+from wrenlake.operators.skew import salted_join, spread_join
+
+# Words that carry no identity, so that sharing them tells nothing.
+COMMON = tuple(
+    "the a an and or but of to in on at for with about how what that this these those your you my i is are was were be been am do does did have has had it its their "
+    "they them we our us me as by from into than then so if not no any all can could would will team teams role work working curious wanted recently applied "
+    "application follow up regarding share like".split()
+)
+# Words before a rounded figure that go with the rounding.
+HEDGES = ("over", "more than", "around", "about", "approximately", "nearly", "roughly", "almost", "upwards of", "north of")
+# Headings of sections that restate what others report.
+SUMMARIES = ("professional summary", "executive summary", "career summary", "summary", "profile", "professional profile", "about me", "about", "objective", "career objective")
+
+
+def content_words(c: Column, exclude: Column | None = None) -> Column:
+    """Lower-case words of three characters or more without edge dots, common words dropped and those of the array ``exclude`` too."""
+    words = F.transform(F.split(F.lower(c), r"[^a-z0-9+#.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*COMMON))
+    return kept if exclude is None else F.filter(kept, lambda w: ~F.array_contains(exclude, w))
 
-# Words too common to tell one text from another.
-COMMON = tuple("the and for with that this from are was were has have had you your our their its not but they who will would into about than then also been can all any one".split())
 
+def prose_words(c: Column, exclude: Column | None = None) -> Column:
+    """content_words() without plain figures."""
+    return F.filter(content_words(c, exclude), lambda w: ~w.rlike(r"^[0-9.]+$"))
 
-def content_words(c: Column) -> Column:
-    """Lower-case words of three characters or more without edge dots, common words and plain figures dropped."""
-    words = F.transform(F.split(F.lower(c), r"[^a-z0-9+#.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*COMMON) & ~w.rlike(r"^[0-9.]+$"))
+
+def required_words(*columns: Column) -> Column:
+    """The words of a role's title and an employer's name, which a text has to hold and which prove nothing."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), r"[^a-z0-9+#.]+"), lambda w: w != ""))
+
+
+_ADDRESSED = r"(?i)\byour?\b"
+
+
+def ask_text(c: Column) -> Column:
+    """The sentences that ask or address the reader."""
+    return F.array_join(F.filter(sentences(c), lambda x: x.contains("?") | x.rlike(_ADDRESSED)), " ")
+
+
+def claim_text(c: Column) -> Column:
+    """The sentences that neither ask nor address the reader."""
+    return F.array_join(F.filter(sentences(c), lambda x: ~x.contains("?") & ~x.rlike(_ADDRESSED)), " ")
 
 
 def ungrounded(draft: Column, evidence: Column) -> Column:
@@ -35,8 +68,8 @@ def faithfulness(draft: Column, evidence: Column) -> Column:
 
 
 def echoed(draft: Column, advert: Column, evidence: Column, n: int = 3) -> Column:
-    """Distinct n-grams of content words that the draft shares with the advert and not with the evidence."""
-    g = lambda c: F.array_distinct(ngrams(content_words(F.coalesce(c, F.lit(""))), n))
+    """Distinct n-grams of prose words that the draft shares with the advert and not with the evidence."""
+    g = lambda c: F.array_distinct(ngrams(prose_words(F.coalesce(c, F.lit(""))), n))
     return F.array_except(F.array_intersect(g(draft), g(advert)), g(evidence))
 
 
@@ -52,61 +85,103 @@ def repeats(messages: DataFrame, thread: str, order: list[str], key: str, text:
     return later.groupBy(key).agg(F.countDistinct("g").alias("repeated"))
 
 
+def repeated_figures(messages: DataFrame, thread: str, order: list[str], key: str, text: str) -> DataFrame:
+    """(key, figures): how many figures of a message, repeats counted, an earlier one of its thread has."""
+    each = messages.select(thread, *order, key, F.explode(numbers_in(F.col(text))).alias("figure")).groupBy(thread, *order, key, "figure").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(thread, "figure").orderBy(*order, key)
+    later = each.withColumn("_n", F.row_number().over(w)).where("_n > 1")
+    return later.groupBy(key).agg(F.sum("n").alias("figures"))
+
+
 def misattributed(drafts: DataFrame, chunks: DataFrame, key: str, text: str, owner: str, chunk_id: str, chunk_text: str) -> DataFrame:
     """(key, sentence_no, figure, best): figures placed in a sentence that fits another chunk than theirs.
 
-    For sentences with a figure and three content words or more: the chunk that shares most words is the best;
-    a figure is misplaced when some chunk has it, the best one has not, the best shares two words or more
-    and at least two more than any chunk that has the figure. Owners with one chunk are left out.
+    For sentences with a figure and three prose words or more: the chunk that shares most words is the best, the smaller
+    id at ties; a figure is misplaced when some chunk has it, the best one has not, the best shares two words or more
+    and at least two more than any chunk that has the figure. Each figure of a draft is reported once, at the first
+    such sentence. Owners with one chunk are left out. Sentences and chunks meet on shared words, hot ones spread.
     """
     many = chunks.groupBy(owner).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(owner)
-    c = chunks.join(many, owner).select(owner, F.col(chunk_id).alias("chunk"), F.array_distinct(content_words(F.col(chunk_text))).alias("cw"), numbers_in(F.col(chunk_text)).alias("cn"))
-    s = drafts.select(key, owner, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
-    s = s.select(key, owner, "sentence_no", F.array_distinct(content_words(F.col("s"))).alias("sw"), F.array_distinct(numbers_in(F.col("s"))).alias("sn"))
+    c = chunks.join(many, owner, "left_semi").select(owner, F.col(chunk_id).alias("chunk"), F.col(chunk_text).alias("_t"))
+    s = drafts.join(many, owner, "left_semi").select(key, owner, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
+    s = s.select(key, owner, "sentence_no", F.array_distinct(prose_words(F.col("s"))).alias("sw"), F.array_distinct(numbers_in(F.col("s"))).alias("sn"))
     s = s.where((F.size("sn") > 0) & (F.size("sw") >= 3))
-    pairs = s.join(c, owner).withColumn("shared", F.size(F.array_intersect("sw", "cw")))
     by = [key, "sentence_no"]
-    best = pairs.groupBy(*by).agg(F.max(F.struct("shared", F.col("chunk"))).alias("m"), F.first("sn").alias("sn"))
-    figures = pairs.select(*by, "chunk", "shared", F.explode(F.array_intersect("sn", "cn")).alias("figure"))
-    owners = figures.groupBy(*by, "figure").agg(F.max("shared").alias("own"), F.collect_set("chunk").alias("holders"))
-    out = owners.join(best, by).where(~F.expr("array_contains(holders, m.chunk)") & (F.col("m.shared") >= 2) & (F.col("m.shared") - F.col("own") >= 2))
-    return out.select(*by, "figure", F.col("m.chunk").alias("best"))
+    words = c.select(owner, "chunk", F.explode(F.array_distinct(prose_words(F.col("_t")))).alias("w"))
+    shared = spread_join(s.select(*by, owner, F.explode("sw").alias("w")), words, [owner, "w"], F.col(key)).groupBy(*by, "chunk").agg(F.count(F.lit(1)).alias("shared"))
+    top = shared.groupBy(*by).agg(F.max("shared").alias("top"))
+    best = shared.join(top, by).where("shared = top").groupBy(*by, "top").agg(F.min("chunk").alias("best"))
+    figures = c.select(owner, "chunk", F.explode(F.array_distinct(numbers_in(F.col("_t")))).alias("figure"))
+    held = spread_join(s.select(*by, owner, F.explode("sn").alias("figure")), figures, [owner, "figure"], F.col(key))
+    owners = held.join(shared, [*by, "chunk"], "left").join(best, by)
+    owners = owners.groupBy(*by, "figure", "top", "best").agg(F.max(F.coalesce("shared", F.lit(0))).alias("own"), F.max((F.col("chunk") == F.col("best")).cast("int")).alias("has"))
+    out = owners.where((F.col("has") == 0) & (F.col("top") >= 2) & (F.col("top") - F.col("own") >= 2))
+    return out.groupBy(key, "figure").agg(F.min(F.struct("sentence_no", "best")).alias("m")).select(key, "m.sentence_no", "figure", "m.best")
+
+
+def summary_only(drafts: DataFrame, chunks: DataFrame, key: str, text: str, owner: str, chunk_text: str) -> DataFrame:
+    """(key, figure): distinct figures of a draft that only summary sections of its owner's chunks hold."""
+    first = F.lower(F.substring_index(F.col(chunk_text), "\n", 1))
+    is_summary = first.rlike(r"^(?:" + "|".join(x.replace(" ", r"\s+") for x in SUMMARIES) + r")\b")
+    of = chunks.select(owner, is_summary.alias("summary"), F.explode(F.array_distinct(numbers_in(F.col(chunk_text)))).alias("figure"))
+    only = of.groupBy(owner, "figure").agg(F.min("summary").alias("only")).where("only").select(owner, "figure", F.lit(True).alias("only"))
+    each = drafts.select(key, owner, F.explode(F.array_distinct(numbers_in(F.col(text)))).alias("figure"))
+    return salted_join(each, only, [owner, "figure"], F.col(key), "inner").select(key, "figure").distinct()
 
 
 _FIGURE = re.compile(r"\d[\d,]*(?:\.\d+)?")
-_HEDGE = re.compile(r"(?:\b(?:about|around|roughly|nearly|almost|over|approximately|some)|~)\s*$", re.I)
-_UNIT = re.compile(r"[A-Za-z%]+")
+_HEDGED = re.compile(r"\b(?:(?:" + "|".join(HEDGES).replace(" ", r"\s") + r")\s+)?(\d[\d,]*(?:\.\d+)?)", re.I)
+
+
+def _measures(text: str, figure: float) -> set[str]:
+    """The words and numbers that follow a figure at any of its places: what it counts."""
+    out: set[str] = set()
+    for m in _FIGURE.finditer(text):
+        if float(m[0].replace(",", "")) == figure:
+            near = (w.strip(".") for w in re.split(r"[^a-z0-9.]+", text[m.end() : m.end() + 60].lower()))
+            out.update(w for w in [w for w in near if w][:4] if w not in COMMON)
+    return out
+
+
+def _shown(value: float, commas: bool) -> str:
+    """A number without needless zeros, with thousands commas where the rounded one had them."""
+    whole = value == int(value)
+    if commas:
+        return f"{int(value):,}" if whole else f"{value:,.3f}".rstrip("0").rstrip(".")
+    return str(int(value)) if whole else repr(value)
+
+
+def _rounds(drafted: str, exact: str) -> bool:
+    """Whether the first number is the second one rounded: near, of the same size and first digit, and rounder."""
+    a, b = float(drafted), float(exact)
+    (whole_a, _, part_a), (whole_b, _, part_b) = drafted.partition("."), exact.partition(".")
+    if a == b or abs(a - b) / b > 0.1 or len(whole_a) != len(whole_b) or whole_a[0] != whole_b[0]:
+        return False
+    zeros = lambda n: len(n) - len(n.rstrip("0"))
+    return zeros(whole_a) > zeros(whole_b) or len(part_a) < len(part_b)
 
 
 def repair(draft: str, evidence: str) -> str:
     """Put back the exact figure where a rounded one stands for exactly one figure of the evidence.
 
-    That figure is within a tenth, has as many whole digits, the same first digit and fewer trailing zeros than
-    the rounded one, and shares a word or sign among the next four. Years and exact figures stay; a word of
-    hedging before the figure goes.
+    That figure is within a tenth, has as many whole digits and the same first digit, and the rounded one has more zeros at its
+    whole part's end or fewer decimals. Two such figures leave the draft as it is, and so does one that
+    counts something else: among the next four words of both one must be the same. Years and exact figures
+    stay; a word of hedging before the figure goes.
     """
-    known = [(m[0], {u.lower() for u in _UNIT.findall(evidence[m.end() : m.end() + 60])[:4]}) for m in _FIGURE.finditer(evidence)]
-    exact = {k.replace(",", "") for k, _ in known}
-    out, at = [], 0
-    for m in _FIGURE.finditer(draft):
-        raw = m[0].replace(",", "")
-        value = float(raw)
-        if raw in exact or (len(raw) == 4 and "1900" <= raw <= "2099"):
-            continue
-        units = {u.lower() for u in _UNIT.findall(draft[m.end() : m.end() + 60])[:4]}
-        fits = set()
-        for k, near in known:
-            bare = k.replace(",", "")
-            if abs(float(bare) - value) <= 0.1 * float(bare) and len(bare.split(".")[0]) == len(raw.split(".")[0]) and bare[0] == raw[0] and units & near:
-                if len(raw.rstrip("0.")) < len(bare.rstrip("0.")):
-                    fits.add(k)
-        if len(fits) != 1:
-            continue
-        before = draft[at : m.start()]
-        hedge = _HEDGE.search(before)
-        out += [before[: hedge.start()] if hedge else before, fits.pop()]
-        at = m.end()
-    return "".join([*out, draft[at:]])
+    known = {m[0].replace(",", "") for m in _FIGURE.finditer(evidence)}
+    sources = sorted({float(k) for k in known if float(k) > 0})
+
+    def exact(m: re.Match) -> str:
+        raw = m[1].replace(",", "")
+        if raw in known or re.fullmatch(r"(?:19|20)\d\d", raw) or float(raw) <= 0:
+            return m[0]
+        fits = [v for v in sources if _rounds(raw, _shown(v, False))]
+        if len(fits) != 1 or not _measures(draft, float(raw)) & _measures(evidence, fits[0]):
+            return m[0]
+        return _shown(fits[0], "," in m[1])
+
+    return _HEDGED.sub(exact, draft)
 
 
 def repair_figures(draft: Column, evidence: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,11 +24,15 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
 
 
-def patch(base: DataFrame, change: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Fill the nulls of ``columns`` from ``change``, one row a key; other rows and values stay."""
-    given = change.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    out = base.join(given, key, "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_new_{c}")) for c in columns}).drop(*[f"_new_{c}" for c in columns])
+def patch(base: DataFrame, change: DataFrame, key: str, columns: list[str], given: str | None = None) -> DataFrame:
+    """Fill the nulls of ``columns`` from ``change``, one row a key; other rows and values stay.
+
+    given: a column of ``change`` with the names of the columns that it gives; these are taken whatever they were, null too.
+    """
+    new = change.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], (F.col(given) if given else F.lit(None).cast("array<string>")).alias("_given"))
+    out = base.join(new, key, "left")
+    value = lambda c: F.when(F.array_contains("_given", c), F.col(f"_new_{c}")).otherwise(F.coalesce(F.col(c), F.col(f"_new_{c}"))) if given else F.coalesce(F.col(c), F.col(f"_new_{c}"))
+    return out.withColumns({c: value(c) for c in columns}).drop("_given", *[f"_new_{c}" for c in columns])
 
 
 def unlink_missing(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
@@ -73,20 +80,32 @@ def only_within(events: DataFrame, marks: DataFrame, key: str, time: str, second
 def spaced(df: DataFrame, key: str, time: str, seconds: int, tie: str) -> DataFrame:
     """Rows accepted when at least ``seconds`` passed since the last accepted row of their key.
 
-    Only accepted rows reset the clock, so it is a fold; times are folded as an ordered array of each key,
-    one long a row.
+    Only accepted rows reset the clock, so it is a fold: the rows of a partition stream past in the order of key and
+    time, and one instant is carried. Rows of one instant go by ``tie``; without key or time there is no row.
     """
-    at = F.unix_micros(F.col(time))
-    kept = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col(tie).alias("k")))).alias("rows"))
     step = seconds * 1_000_000
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(df.dtypes)[tie]}>").alias("kept"))
-    fold = F.aggregate(
-        "rows",
-        empty,
-        lambda acc, r: F.when(
-            acc["last"].isNull() | (r["t"] - acc["last"] >= step), F.struct(r["t"].alias("last"), F.concat(acc["kept"], F.array(r["k"])).alias("kept"))
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    accepted = kept.select(F.explode(fold).alias(tie))
-    return df.join(accepted, tie, "left_semi")
+    rows = df.select(F.col(key), F.col(tie), F.unix_micros(F.col(time)).alias("_t")).where(F.col(key).isNotNull() & F.col("_t").isNotNull())
+    kind = dict(df.dtypes)[tie]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for b in batches:
+            keep = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if k != now or t - last >= step:
+                    now, last = k, t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep, pa.bool_()))], [tie])
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "_t", tie)
+    return df.join(ordered.mapInArrow(fold, f"{tie} {kind}"), tie, "left_semi")
+
+
+def expect_one(df: DataFrame) -> DataFrame:
+    """``df`` when it has exactly one row; none and several raise."""
+    n = df.limit(2).count()
+    if n != 1:
+        raise LookupError("no row" if n == 0 else "more than one row")
+    return df

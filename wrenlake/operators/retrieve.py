@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wrenlake.operators.skew import spread_join
+
 # Words that carry no meaning in a query.
 STOP = tuple("a an and are as at be by for from has have in is it its of on or that the this to was we were will with you your".split())
 
 
 def terms(c: Column) -> Column:
-    """The simple analyser: lower-case words of letters, digits and + # of two characters or more, stop words dropped."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9+#]{2,}"), 0)
+    """The simple analyser: lower-case words of letters and digits of any script, + and #, of two characters or more, stop words dropped."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}+#]{2,}"), 0)
     return F.filter(words, lambda w: ~w.isin(*STOP))
 
 
@@ -90,12 +92,12 @@ def sparse_scores(queries: DataFrame, docs: DataFrame, qid: str, qtext: str, did
     """(query, doc, score): matching positions over 1 + ln(number of terms), for documents with a query word.
 
     every: all words of the query must occur. The words are one join on the term; occurrences are counted
-    by document before it, so a frequent term moves one row a document.
+    by document before it, so a frequent term moves one row a document, and its documents are spread over tasks.
     """
     q = queries.select(F.col(qid).alias("query"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("t"))
     d = docs.select(F.col(did).alias("doc"), terms(F.col(dtext)).alias("ts"))
     d = d.select("doc", F.size("ts").alias("n"), F.explode("ts").alias("t")).groupBy("doc", "n", "t").agg(F.count(F.lit(1)).alias("tf"))
-    hits = d.join(q, "t").groupBy("query", "doc").agg((F.sum("tf") / (1 + F.ln(F.first("n")))).alias("score"), F.count(F.lit(1)).alias("words"))
+    hits = spread_join(d, q, ["t"], F.col("doc"), hot=20_000).groupBy("query", "doc").agg((F.sum("tf") / (1 + F.ln(F.first("n")))).alias("score"), F.count(F.lit(1)).alias("words"))
     if every:
         hits = hits.join(q.groupBy("query").agg(F.count(F.lit(1)).alias("all")), "query").where("words = all").drop("all")
     return hits.drop("words")
@@ -138,6 +140,11 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     g = gold.distinct()
     n = g.groupBy("query").agg(F.count(F.lit(1)).alias("gold"))
     r = ranked.join(g.withColumn("hit", F.lit(1)), ["query", "doc"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return hit_metrics(r, n, k)
+
+
+def hit_metrics(r: DataFrame, n: DataFrame, k: int) -> DataFrame:
+    """ranking_metrics() of (query, rank, hit) and (query, gold), the number of relevant rows, where these need no list."""
     inside = F.col("rank") <= k
     per = r.groupBy("query").agg(
         F.sum(F.when(inside, F.col("hit")).otherwise(0)).alias("hits"),
@@ -155,3 +162,55 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
         (F.col("dcg") / ideal).alias("ndcg"),
         (F.col("hits") > 0).cast("int").alias("hit"),
     )
+
+
+def fuse_lenses(hits: DataFrame, limit: int, k: int = 1) -> DataFrame:
+    """(query, doc, score, rank, dense_rank, sparse_rank): reciprocal rank fusion of whole searches, one vote a lens.
+
+    hits: (query, lens, doc, rank, dense_rank, sparse_rank), lenses numbered from 0. The ranks of the legs are those of the first
+    lens that found the row, null where its leg didn't. Ties of the score go to the smaller document.
+    """
+    one = hits.groupBy("query", "doc").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min_by(F.struct("dense_rank", "sparse_rank"), "lens").alias("_of"))
+    w = W.partitionBy("query").orderBy(F.desc("score"), "doc")
+    out = one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return out.select("query", "doc", "score", "rank", "_of.dense_rank", "_of.sparse_rank")
+
+
+def with_leg_ranks(legs: DataFrame, k: int = 60, limit: int | None = None) -> DataFrame:
+    """fuse() with dense_rank (leg 0) and sparse_rank (leg 1), null where a leg didn't find the row."""
+    of = lambda n: F.max(F.when(F.col("leg") == n, F.col("rank")))
+    ranks = legs.groupBy("query", "doc").agg(of(0).alias("dense_rank"), of(1).alias("sparse_rank"))
+    return fuse(legs, k, limit).join(ranks, ["query", "doc"])
+
+
+def violations(ranked: DataFrame, forbidden: DataFrame, k: int) -> DataFrame:
+    """(query, forbidden_shown): the queries whose first ``k`` rows hold a forbidden document, and how many."""
+    bad = ranked.where(F.col("rank") <= k).join(forbidden.select("query", "doc").distinct(), ["query", "doc"], "left_semi")
+    return bad.groupBy("query").agg(F.count(F.lit(1)).alias("forbidden_shown"))
+
+
+def marked(cases: DataFrame, chunks: DataFrame, block: int = 500) -> DataFrame:
+    """(case, marker, doc): documents that hold a marker, whatever its case. Markers without one have a row with a null document.
+
+    cases: (case, marker), a stated set that meets all rows in blocks of ``block`` markers; chunks: (doc, text).
+    """
+    one = cases.where(F.col("marker").isNotNull()).select("case", "marker").distinct()
+    blocks = one.groupBy(F.pmod(F.xxhash64("case", "marker"), F.lit(max(1, -(-one.count() // block)))).alias("b")).agg(F.collect_list(F.struct("case", "marker", F.lower("marker").alias("low"))).alias("ms"))
+    pairs = chunks.where(F.col("text").isNotNull()).select("doc", F.lower("text").alias("low")).join(F.broadcast(blocks.select("ms")), how="inner")
+    hits = pairs.select("doc", F.explode(F.filter("ms", lambda m: F.contains(F.col("low"), m["low"]))).alias("m")).select("m.case", "m.marker", "doc").distinct()
+    return one.join(hits, ["case", "marker"], "left")
+
+
+def parse_grades(answer: Column, candidates: Column, most: int = 2) -> Column:
+    """Grades by position from a JSON answer: [(id, grade)], the last of repeated ids; null where it has no list of grades.
+
+    Rows that are no objects, ids that are no whole numbers in range and grades that are no numbers drop; grades are rounded half up and held
+    within 0 and ``most``.
+    """
+    rows = F.from_json(F.get_json_object(answer, "$.grades"), "array<string>")
+    number = r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
+    parsed = F.transform(rows, lambda r: F.struct(F.get_json_object(r, "$.id").alias("id"), F.get_json_object(r, "$.grade").alias("grade"), r.rlike(r'"(?:id|grade)"\s*:\s*"').alias("text")))
+    good = F.filter(parsed, lambda x: ~x["text"] & x["id"].rlike(r"^\d+(?:\.0+)?$") & (x["id"].cast("double") < candidates) & x["grade"].rlike(number))
+    cast = F.transform(good, lambda x: F.struct(x["id"].cast("double").cast("int").alias("id"), F.least(F.lit(most), F.greatest(F.lit(0), F.floor(x["grade"].cast("double") + 0.5).cast("int"))).alias("grade")))
+    last = F.filter(cast, lambda x, i: ~F.exists(F.slice(cast, i + 2, F.greatest(F.size(cast) - i - 1, F.lit(0))), lambda y: y["id"] == x["id"]))
+    return F.when(rows.isNotNull(), last)

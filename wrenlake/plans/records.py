@@ -121,7 +121,7 @@ CASE WHEN coalesce(length(trim(chunk_text)) > 0, false) THEN NULL ELSE 'text' EN
 CASE WHEN embedding IS NULL OR len(embedding) = 64 THEN NULL ELSE 'width' END], lambda x: x IS NOT NULL)) AS reason FROM resume_chunks) GROUP BY reason""")
 def rejected_chunks(spark, d):
     c = read_table(spark, d, "resume_chunks").select("chunk_text", "embedding", "embedding_model")
-    rules = {"paired": F.col("embedding").isNull() == F.col("embedding_model").isNull(), "text": F.length(F.trim("chunk_text")) > 0, "width": F.col("embedding").isNull() | (F.size("embedding") == 64)}
+    rules = {"paired": F.col("embedding").isNull() == F.col("embedding_model").isNull(), "text": F.length(utrim(F.col("chunk_text"))) > 0, "width": F.col("embedding").isNull() | (F.size("embedding") == 64)}
     return validate(c, rules).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -177,7 +177,7 @@ def company_match_fuzzy(spark, d):
     return match.fuzzy_pairs(l, r).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\b(?:inc|llc|ltd|limited|corp|corporation|co|company|gmbh|plc|group|holdings)\b\.?', ' ', 'g'), '[.,()|·•@]', ' ', 'g'), '[\s ]+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\b(?:inc|llc|ltd|limited|corp|corporation|gmbh|plc|co|sa|ag|bv|nv|pvt|pte)\b', '', 'g'), '[.,()|·•@]', ' ', 'g'), '[\s ]+', ' ', 'g'))"
 
 
 @query(f"""WITH l AS (SELECT DISTINCT company AS a, {_NORM.format(c='company')} AS na FROM contacts WHERE company IS NOT NULL), r AS (SELECT DISTINCT company AS b, {_NORM.format(c='company')} AS nb FROM jobs WHERE company IS NOT NULL)
@@ -211,7 +211,10 @@ def latest_click_before(spark, d):
     return out.select("event_id", F.coalesce("mark_event_id", F.lit(-1)).alias("mark_event_id"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'view'),
+a AS (SELECT user_id, i, event_id, ts, ts AS last, true AS ok FROM v WHERE i = 1
+UNION ALL SELECT v.user_id, v.i, v.event_id, v.ts, CASE WHEN v.ts >= a.last + INTERVAL 6 HOUR THEN v.ts ELSE a.last END, v.ts >= a.last + INTERVAL 6 HOUR FROM a JOIN v ON v.user_id = a.user_id AND v.i = a.i + 1)
+SELECT event_id, user_id FROM a WHERE ok""")
 def accepted_polls(spark, d):
     e = read_table(spark, d, "events").where("event_type = 'view'").select("event_id", "user_id", "ts")
     return relational.spaced(e, "user_id", "ts", 6 * 3600, "event_id").select("event_id", "user_id")
@@ -356,5 +359,5 @@ def unknown_profiles(spark, d):
 
 @query("""SELECT lower(trim(company)) AS company FROM contacts WHERE company IS NOT NULL UNION SELECT lower(trim(company)) FROM jobs WHERE company IS NOT NULL""")
 def employers_seen(spark, d):
-    c = lambda t: read_table(spark, d, t).where("company is not null").select(F.lower(F.trim("company")).alias("company"))
+    c = lambda t: read_table(spark, d, t).where("company is not null").select(F.lower(utrim(F.col("company"))).alias("company"))
     return c("contacts").union(c("jobs")).distinct()

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in retrieve.STOP) + "]"
-_TERMS = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9+#]{{2,}}'), lambda w: NOT list_contains(" + _STOP + ", w))"
+_TERMS = "list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{N}}+#]{{2,}}'), lambda w: NOT list_contains(" + _STOP + ", w))"
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[])"
 _DENSE = f"""dense AS (SELECT q.vec_id AS query, r.vec_id AS doc, round({_COS}, 9) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, r.vec_id) AS rank
 FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0)"""
@@ -109,8 +109,10 @@ def _metrics(spark, d):
     e = read_table(spark, d, "embeddings").select("vec_id", "label")
     ranked = _dense(spark, d, 21).where("rank > 1").select("query", F.col("row").alias("doc"), (F.col("rank") - 1).alias("rank"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
-    gold = q.join(e.withColumnRenamed("vec_id", "doc"), "label").where("query <> doc").select("query", "doc")
-    return retrieve.ranking_metrics(ranked, gold, 3)
+    # relevant is what has the query's label: counted by label, looked up by label, never listed
+    gold = q.join(e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("gold")), "label").where("gold > 0").select("query", "gold")
+    hits = ranked.join(q, "query").join(e.select(F.col("vec_id").alias("doc"), F.col("label").alias("found")), "doc")
+    return retrieve.hit_metrics(hits.select("query", "rank", (F.col("label") == F.col("found")).cast("int").alias("hit")), gold, 3)
 
 
 @query(f"WITH {_METRICS} SELECT query, round(precision, 6) AS precision, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, hit FROM m")

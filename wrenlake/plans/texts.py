@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wrenlake.functions.text import lines_of, ngrams, numbers_in, sentences
+from wrenlake.functions.text import lines_of, ngrams, numbers_in, sentences, utrim
 from wrenlake.operators import chunk, quality, relational
 from wrenlake.session import read_table
 
@@ -24,6 +24,7 @@ def query(sql: str | None = None):
 
 _NUMS = r"list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda n: replace(n, ',', ''))"
 _COMMON = "[" + ", ".join(f"'{w}'" for w in quality.COMMON) + "]"
+_CONTENT = r"list_filter(list_transform(regexp_split_to_array(lower({c}), '[^a-z0-9+#.]+'), lambda w: regexp_replace(w, '^\.+|\.+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains(" + _COMMON + r", w))"
 _CW = r"list_filter(list_transform(regexp_split_to_array(lower({c}), '[^a-z0-9+#.]+'), lambda w: regexp_replace(w, '^\.+|\.+$', '', 'g')), lambda w: length(w) > 2 AND NOT list_contains(" + _COMMON + r", w) AND NOT regexp_matches(w, '^[0-9.]+$'))"
 _TRI = "list_distinct(list_transform(generate_series(1, len({w}) - 2), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2]))"
 
@@ -59,7 +60,7 @@ def advert_echoes(spark, d):
     return out.where(F.size("es") > 0).select("id", F.size("es").cast("long").alias("echoes"), F.array_join(F.sort_array("es"), "|").alias("grams"))
 
 
-@query(f"""WITH m AS (SELECT DISTINCT id, contact_id, created_at, draft_text FROM messages WHERE draft_text IS NOT NULL), w AS (SELECT id, contact_id, created_at, {_CW.format(c='draft_text')} AS ws FROM m),
+@query(f"""WITH m AS (SELECT DISTINCT id, contact_id, created_at, draft_text FROM messages WHERE draft_text IS NOT NULL), w AS (SELECT id, contact_id, created_at, {_CONTENT.format(c='draft_text')} AS ws FROM m),
 g AS (SELECT id, contact_id, created_at, unnest({_TRI.format(w='ws')}) AS g FROM w), n AS (SELECT id, g, row_number() OVER (PARTITION BY contact_id, g ORDER BY created_at, id) AS k FROM g)
 SELECT id, count(DISTINCT g) AS repeated FROM n WHERE k > 1 GROUP BY id""")
 def repeated_phrases(spark, d):
@@ -67,7 +68,20 @@ def repeated_phrases(spark, d):
     return quality.repeats(m, "contact_id", ["created_at"], "id", "draft_text")
 
 
-@query()
+_SENT = r"list_filter(string_split(regexp_replace({c}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"""WITH r AS (SELECT job_id, id AS resume_id FROM resumes), m AS (SELECT DISTINCT m.id AS message_id, r.resume_id, m.draft_text FROM messages m JOIN r USING (job_id)),
+many AS (SELECT resume_id FROM resume_chunks GROUP BY resume_id HAVING count(*) > 1),
+c AS (SELECT resume_id, id AS chunk, list_distinct({_CW.format(c='chunk_text')}) AS cw, list_distinct({_NUMS.format(c='chunk_text')}) AS cn FROM resume_chunks WHERE resume_id IN (SELECT resume_id FROM many)),
+x AS (SELECT message_id, resume_id, unnest({_SENT.format(c='draft_text')}) AS s, generate_subscripts({_SENT.format(c='draft_text')}, 1) - 1 AS sentence_no FROM m),
+s AS (SELECT message_id, resume_id, sentence_no, list_distinct({_CW.format(c='s')}) AS sw, list_distinct({_NUMS.format(c='s')}) AS sn FROM x),
+p AS (SELECT message_id, sentence_no, sn, cn, chunk, len(list_intersect(sw, cw)) AS shared FROM s JOIN c USING (resume_id) WHERE len(sn) > 0 AND len(sw) >= 3),
+b AS (SELECT message_id, sentence_no, chunk AS best, shared AS top FROM p QUALIFY row_number() OVER (PARTITION BY message_id, sentence_no ORDER BY shared DESC, chunk) = 1),
+f AS (SELECT message_id, sentence_no, chunk, shared, unnest(list_intersect(sn, cn)) AS figure FROM p),
+o AS (SELECT message_id, sentence_no, figure, max(shared) AS own, list(chunk) AS holders FROM f GROUP BY ALL),
+q AS (SELECT message_id, sentence_no, figure, best FROM o JOIN b USING (message_id, sentence_no) WHERE NOT list_contains(holders, best) AND top >= 2 AND top - own >= 2)
+SELECT message_id, sentence_no::INT AS sentence_no, figure, best FROM q QUALIFY row_number() OVER (PARTITION BY message_id, figure ORDER BY sentence_no, best) = 1""")
 def misplaced_figures(spark, d):
     r = read_table(spark, d, "resumes").select("id", "job_id")
     m = read_table(spark, d, "messages").select(F.col("id").alias("message_id"), "job_id", "draft_text").distinct().join(r, "job_id").withColumnRenamed("id", "resume_id")
@@ -113,7 +127,7 @@ def capped_lines(spark, d):
 
 @query(r"""SELECT id, CASE WHEN length(c) > 1 AND length(c) < 60 THEN c END AS company FROM (SELECT id, trim(regexp_extract(headline, '(?i)(?:\bat\b|@)\s*([^|·•\-–—,]+)', 1), ' ') AS c FROM contacts WHERE headline IS NOT NULL)""")
 def headline_companies(spark, d):
-    c = F.trim(F.regexp_extract("headline", r"(?i)(?:\bat\b|@)\s*([^|·•\-–—,]+)", 1))
+    c = utrim(F.regexp_extract("headline", r"(?i)(?:\bat\b|@)\s*([^|·•\-–—,]+)", 1))
     return read_table(spark, d, "contacts").where("headline is not null").select("id", F.when((F.length(c) > 1) & (F.length(c) < 60), c).alias("company"))
 
 
@@ -126,7 +140,7 @@ def page_addresses(spark, d):
 @query(f"""WITH w AS (SELECT id, created_at, unnest({_CW.format(c='profile_text')}) AS w, generate_subscripts({_CW.format(c='profile_text')}, 1) AS i FROM contacts WHERE profile_text IS NOT NULL),
 c AS (SELECT id, w, count(*) AS n, min(i) AS first FROM w GROUP BY id, w) SELECT id, w AS word, n FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, first) <= 30""")
 def profile_words(spark, d):
-    c = read_table(spark, d, "contacts").where("profile_text is not null").select("id", F.posexplode(quality.content_words(F.col("profile_text"))).alias("i", "word"))
+    c = read_table(spark, d, "contacts").where("profile_text is not null").select("id", F.posexplode(quality.prose_words(F.col("profile_text"))).alias("i", "word"))
     n = c.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
     return relational.first_per_key(n, ["id"], [F.desc("n"), F.col("first")], 30).select("id", "word", "n")
 
@@ -136,8 +150,8 @@ k AS (SELECT id, w, sum(weight + CASE WHEN regexp_matches(w, '[+#.]|[a-z][0-9]')
 SELECT id, w AS word, score FROM k WHERE sure OR n > 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, w) <= 25""")
 def role_keywords(spark, d):
     j = read_table(spark, d, "jobs")
-    title = j.select("id", F.explode(quality.content_words(F.col("title"))).alias("word"), F.lit(5).alias("weight"))
-    body = j.select("id", F.explode(quality.content_words(F.col("jd_text"))).alias("word"), F.lit(1).alias("weight"))
+    title = j.select("id", F.explode(quality.prose_words(F.col("title"))).alias("word"), F.lit(5).alias("weight"))
+    body = j.select("id", F.explode(quality.prose_words(F.col("jd_text"))).alias("word"), F.lit(1).alias("weight"))
     shape = F.col("word").rlike(r"[+#.]|[a-z][0-9]")
     k = title.unionByName(body).groupBy("id", "word").agg(F.sum(F.col("weight") + F.when(shape, 3).otherwise(0)).alias("score"), F.count(F.lit(1)).alias("n"), F.bool_or((F.col("weight") == 5) | shape).alias("sure"))
     return relational.first_per_key(k.where("sure or n > 1"), ["id"], [F.desc("score"), F.col("word")], 25).select("id", "word", "score")
@@ -145,12 +159,12 @@ def role_keywords(spark, d):
 
 @query(f"""WITH w AS (SELECT unnest({_TRI.format(w='ws')}) AS gram FROM (SELECT {_CW.format(c='text')} AS ws FROM documents WHERE text IS NOT NULL)) SELECT gram, count(*) AS documents FROM w GROUP BY gram HAVING count(*) >= 5""")
 def frequent_phrases(spark, d):
-    g = read_table(spark, d, "documents").select(F.explode(F.array_distinct(ngrams(quality.content_words(F.col("text")), 3))).alias("gram"))
+    g = read_table(spark, d, "documents").select(F.explode(F.array_distinct(ngrams(quality.prose_words(F.col("text")), 3))).alias("gram"))
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("documents")).where("documents >= 5")
 
 
-@query()
+@query(rf"""SELECT id, len(ss) AS claims FROM (SELECT id, list_filter({_SENT.format(c='draft_text')}, lambda x: regexp_matches(x, '(?i)\b(?:i|my|we|our)\b') AND NOT contains(x, '?')) AS ss FROM (SELECT DISTINCT id, draft_text FROM messages)) WHERE len(ss) > 0""")
 def first_person_sentences(spark, d):
     m = read_table(spark, d, "messages").select("id", "draft_text").distinct()
     s = F.filter(sentences(F.col("draft_text")), lambda x: x.rlike(r"(?i)\b(?:i|my|we|our)\b") & ~x.contains("?"))
-    return m.select("id", F.size(s).alias("claims")).where("claims > 0")
+    return m.select("id", F.size(s).cast("long").alias("claims")).where("claims > 0")
