@@ -202,3 +202,85 @@ def test_streams_equal_batches(spark, tmp_path):
             best = n
             want.append(n)
     assert sorted(r[2] for r in run(state.growing_reads(stream(), "k", "ts", "n"), "growing", "append")) == want
+
+
+def test_stems_and_english_search(spark):
+    from wrenlake.functions.stem import porter
+
+    pairs = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat rational:ration digitizer:digit operator:oper decisiveness:decis triplicate:triplic hopefulness:hope revival:reviv adoption:adopt adjustment:adjust probate:probat rate:rate cease:ceas controll:control roll:roll"
+    assert {w: porter(w) for w, _ in (p.split(":") for p in pairs.split())} == dict(p.split(":") for p in pairs.split())
+    d = spark.createDataFrame([(1, "migrating pipelines quickly and migrated pipeline"), (2, "a pipeline of old and slow and late migrations"), (3, None), (4, "other words")], "id long, t string")
+    q = spark.createDataFrame([(9, "migration of the pipeline")], "q long, qt string")
+    assert {r.doc for r in retrieve.english_scores(q, d, "q", "qt", "id", "t").collect()} == {1, 2}
+    dense = {r.doc: r.score for r in retrieve.english_scores(q, d, "q", "qt", "id", "t", True).collect()}
+    assert dense[1] > dense[2] > 0
+    assert retrieve._density([[0, 10], [1, 20]]) == pytest.approx(1 / 1 + 1 / 9 + 1 / 10)  # (0, 1), (1, 10), (10, 20)
+
+
+def test_words_of_other_scripts(spark):
+    d = spark.createDataFrame([(1, "Verfügbarkeit für alle"), (2, "разработчик данных"), (3, "x")], "id long, t string")
+    q = spark.createDataFrame([(7, "verfügbarkeit"), (8, "Данных")], "q long, qt string")
+    assert {(r.query, r.doc) for r in retrieve.sparse_scores(q, d, "q", "qt", "id", "t").collect()} == {(7, 1), (8, 2)}
+
+
+def test_lenses_violations_markers(spark):
+    hits = spark.createDataFrame([(1, 0, "a", 1, 3, None), (1, 0, "b", 2, None, 1), (1, 1, "b", 1, 7, 7), (1, 1, "c", 2, 1, None)], "query int, lens int, doc string, rank int, dense_rank int, sparse_rank int")
+    out = [(r.doc, r.rank, r.dense_rank, r.sparse_rank) for r in retrieve.fuse_lenses(hits, 2).orderBy("rank").collect()]
+    assert out == [("b", 1, None, 1), ("a", 2, 3, None)]  # the legs of the first lens that found it
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1)], "query int, doc string, rank int")
+    assert [tuple(r) for r in retrieve.violations(ranked, spark.createDataFrame([(1, "b"), (1, "b"), (2, "z")], "query int, doc string"), 2).collect()] == [(1, 1)]
+    cases = spark.createDataFrame([("c", "Mail RELAY"), ("c", "100%_x"), ("d", None)], "case string, marker string")
+    chunks = spark.createDataFrame([(1, "the mail relay"), (2, None), (3, "100%_X and mail relay")], "doc long, text string")
+    for block in (1, 500):
+        assert {tuple(r) for r in retrieve.marked(cases, chunks, block).collect()} == {("c", "Mail RELAY", 1), ("c", "Mail RELAY", 3), ("c", "100%_x", 3)}
+    assert [tuple(r) for r in retrieve.marked(cases, chunks.limit(0)).orderBy("marker").collect()] == [("c", "100%_x", None), ("c", "Mail RELAY", None)]
+
+
+def test_parse_grades(spark):
+    cases = {
+        '{"grades":[{"id":0,"grade":2},{"id":1,"grade":7},{"id":2,"grade":-1},{"id":3,"grade":1}]}': [(0, 2), (1, 2), (2, 0)],
+        '{"grades":[{"id":1,"grade":0},{"id":1,"grade":1.5},{"id":"0","grade":1},5,null,{"id":0.5,"grade":1},{"id":2,"grade":"1"}]}': [(1, 2)],
+        '{"grades":[]}': [], '{"other":1}': None, "no json": None, '{"grades":3}': None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    got = {r.a: r.g if r.g is None else [(x.id, x.grade) for x in r.g] for r in df.select("a", retrieve.parse_grades(F.col("a"), F.lit(3)).alias("g")).collect()}
+    assert got == cases
+
+
+def test_thread_and_summary_checks(spark):
+    m = spark.createDataFrame([(1, "t", 1, "We cut 45 hours and 45 days. Did you see?"), (2, "t", 2, "Again 45 hours, 45 more and 9."), (3, "u", 1, "45")], "id long, t string, o int, x string")
+    assert {(r.id, r.figures) for r in quality.repeated_figures(m, "t", ["o"], "id", "x").collect()} == {(2, 2)}
+    r = one(spark, quality.claim_text(F.lit("I built it. Your team? It works.")), quality.ask_text(F.lit("I built it. Your team? It works.")))
+    assert list(r) == ["I built it. It works.", "Your team?"]
+    drafts = spark.createDataFrame([(1, "r", "9.5 and 40 and 40"), (2, "s", "7")], "id long, r string, t string")
+    chunks = spark.createDataFrame([("r", "Professional Summary\n9.5 of 10 and 40"), ("r", "EXPERIENCE\n40 things"), ("s", "Profiles\n7")], "r string, c string")
+    assert {tuple(x) for x in quality.summary_only(drafts, chunks, "id", "t", "r", "c").collect()} == {(1, "9.5")}
+
+
+def test_repair_counts_before_units():
+    assert quality.repair("about 30 seconds", "31 days") == "about 30 seconds"
+    assert quality.repair("over 30,000 lines", "32,330 lines and 31,900 users") == "over 30,000 lines"  # two figures near, one of the same unit
+    assert quality.repair("over 32,000 lines", "32,330 lines") == "32,330 lines"
+    assert quality.repair("a 9/10 score out of 10", "a 9.5/10 score out of 10") == "a 9.5/10 score out of 10"
+    assert quality.repair("100 hours", "96 hours") == "100 hours" and quality.repair("1,040 hours", "1,043 hours") == "1,043 hours"
+
+
+def test_fold_patch_and_one_row(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "k", i) for i in range(8)], "id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.id for r in relational.spaced(df, "k", "ts", 3, "id").collect()) == [0, 4, 7]
+    base, change = spark.createDataFrame([("a", 1, None), ("b", 2, 3)], "k string, v int, w int"), spark.createDataFrame([("a", None, 5, ["v"]), ("b", None, 9, [])], "k string, v int, w int, given array<string>")
+    assert {tuple(r) for r in relational.patch(base, change, "k", ["v", "w"], "given").collect()} == {("a", None, 5), ("b", 2, 3)}
+    assert relational.expect_one(df.where("id = 1")).count() == 1
+    for bad in ("id < 0", "id < 3"):
+        with pytest.raises(LookupError):
+            relational.expect_one(df.where(bad))
+
+
+def test_spread_join_keeps_hot_keys_whole(spark):
+    from wrenlake.operators.skew import spread_join
+
+    left = spark.range(300).select(F.col("id"), F.when(F.col("id") < 250, F.lit("hot")).otherwise(F.lit(None)).alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("cold", 3), (None, 4)], "k string, v int")
+    out = spread_join(left, right, ["k"], F.col("id"), hot=10)
+    assert out.count() == 500 and out.select("id", "v").distinct().count() == 500
+    assert spread_join(left.limit(0), right, ["k"], F.col("id")).count() == 0

@@ -27,8 +27,8 @@ def is_header(line: str) -> bool:
     if bare.lower() in HEADERS:
         return True
     head = _DASH.split(bare, maxsplit=1)[0].strip()
-    words = head.split()
-    return bool(re.search("[A-Z]", head)) and head == head.upper() and len(words) <= 7 and (len(words) >= 2 or len(head) >= 6)
+    words = [w for w in head.split() if re.search(r"\w", w)]  # a bullet's mark is no word
+    return bool(re.search("[A-Z]", head)) and head == head.upper() and len(words) <= 7 and (len(words) >= 2 or len(" ".join(words)) >= 6)
 
 
 def passages(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:

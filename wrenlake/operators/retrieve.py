@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wrenlake.operators.skew import spread_join
+from wrenlake.functions.stem import stems
+from wrenlake.operators.skew import salted_join, spread_join
 
 # Words that carry no meaning in a query.
 STOP = tuple("a an and are as at be by for from has have in is it its of on or that the this to was we were will with you your".split())
@@ -214,3 +216,44 @@ def parse_grades(answer: Column, candidates: Column, most: int = 2) -> Column:
     cast = F.transform(good, lambda x: F.struct(x["id"].cast("double").cast("int").alias("id"), F.least(F.lit(most), F.greatest(F.lit(0), F.floor(x["grade"].cast("double") + 0.5).cast("int"))).alias("grade")))
     last = F.filter(cast, lambda x, i: ~F.exists(F.slice(cast, i + 2, F.greatest(F.size(cast) - i - 1, F.lit(0))), lambda y: y["id"] == x["id"]))
     return F.when(rows.isNotNull(), last)
+
+
+def english_scores(queries: DataFrame, docs: DataFrame, qid: str, qtext: str, did: str, dtext: str, every: bool = False) -> DataFrame:
+    """(query, doc, score) by stems. With ``every`` all stems of the query must occur, and the score is the density of their covers.
+
+    A cover is a shortest stretch of the document that holds all stems; each counts 1 over 1 + the other words in it. Without
+    ``every`` each matching position is a cover of its own. Scores are divided by 1 + ln(number of words). Words are
+    stemmed once each, not once a place. Null and empty texts match nothing.
+    """
+    spread = lambda df, i, c, name: df.select(F.col(i).alias(name), terms(F.col(c)).alias("ts")).select(name, F.size("ts").alias("n"), F.posexplode("ts").alias("pos", "t"))
+    q, d = spread(queries, qid, qtext, "query"), spread(docs, did, dtext, "doc")
+    known = stems(q.select("t").distinct())
+    q = q.join(known, "t").select("query", "stem").distinct()
+    # only words that share a beginning with a query's stem can have one of its stems: the shortest, two letters, is the block
+    vocabulary = d.select("t").distinct().join(q.select(F.substring("stem", 1, 2).alias("b")).distinct(), F.substring("t", 1, 2) == F.col("b"), "left_semi")
+    d = salted_join(d, stems(vocabulary), ["t"], F.col("doc"), "inner").groupBy("doc", "n", "stem").agg(F.collect_list("pos").alias("ps"))
+    hits = spread_join(d, q, ["stem"], F.col("doc"), hot=20_000)
+    norm = 1 + F.ln("n")
+    if not every:
+        return hits.groupBy("query", "doc").agg((F.sum(F.size("ps")) / F.first(norm)).alias("score"))
+    found = hits.groupBy("query", "doc", "n").agg(F.collect_list(F.struct("stem", "ps")).alias("of")).join(q.groupBy("query").agg(F.count(F.lit(1)).alias("all")), "query").where(F.size("of") == F.col("all"))
+
+    @F.pandas_udf("double")
+    def density(lists: pd.Series) -> pd.Series:
+        return pd.Series([_density([list(x) for x in row]) for row in lists])
+
+    return found.select("query", "doc", (density(F.col("of.ps")) / norm).alias("score"))
+
+
+def _density(lists: list[list[int]]) -> float:
+    """The sum over minimal covers of 1 / (1 + words between); lists: the positions of each stem."""
+    places = sorted((p, i) for i, ps in enumerate(lists) for p in ps)
+    last: dict[int, int] = {}
+    covers: list[tuple[int, int]] = []
+    for p, i in places:
+        last[i] = p
+        if len(last) == len(lists):
+            low = min(last.values())
+            if not covers or low > covers[-1][0]:
+                covers.append((low, p))
+    return sum(1 / (1 + high - low + 1 - len(lists)) for low, high in covers)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenlake.plans import records, search, texts
+from wrenlake.plans import evidence, records, search, texts
 
-MODULES = (records, search, texts)
+MODULES = (records, search, texts, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
