@@ -12,6 +12,7 @@ from wrenlake.functions.text import collapse, jaccard, ngrams, numbers_in, trigr
 from wrenlake.operators import chunk, match, quality, relational, retrieve
 from wrenlake.operators.components import connected_components
 from wrenlake.operators.skew import salted_join
+from wrenlake.session import guard
 from wrenlake.sources.model import read_text_files, replace_partitions, schema_of, validate
 from wrenlake.streaming import state
 
@@ -284,3 +285,13 @@ def test_spread_join_keeps_hot_keys_whole(spark):
     out = spread_join(left, right, ["k"], F.col("id"), hot=10)
     assert out.count() == 500 and out.select("id", "v").distinct().count() == 500
     assert spread_join(left.limit(0), right, ["k"], F.col("id")).count() == 0
+
+
+def test_guard_in_a_session_that_sets_nothing(spark):
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    try:
+        assert spark.conf.get("spark.sql.unionOutputPartitioning") == "true"  # what a plain session has
+        guard(spark)
+        assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
