@@ -295,3 +295,41 @@ def test_guard_in_a_session_that_sets_nothing(spark):
         assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
     finally:
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def _misplaced(drafts, chunks):
+    """misattributed() by all pairs, on texts whose words begin with w and whose figures stand alone."""
+    count = {}
+    for r, _, _ in chunks:
+        count[r] = count.get(r, 0) + 1
+    pairs, out = {}, {}
+    for k, r, t in drafts:
+        for no, x in enumerate(t.split(". ")):
+            ws, ns = ({w for w in x.split() if w[0] == "w"}, {w for w in x.split() if w[0] != "w"})
+            if ns and len(ws) >= 3:
+                pairs.setdefault((k, no), []).extend((-len(ws & set(ct.split())), c, ns & set(ct.split())) for q, c, ct in chunks if q == r and count[r] > 1)
+    for (k, no), ps in sorted(pairs.items()):
+        top, best, _ = min(ps, default=(0, "", 0), key=lambda p: p[:2])
+        for n in set().union(*[p[2] for p in ps]):
+            of = [p for p in ps if n in p[2]]
+            if best not in {p[1] for p in of} and -top >= 2 and min(p[0] for p in of) - top >= 2:
+                out.setdefault((k, n), (no, best))
+    return {(k, no, n, best) for (k, n), (no, best) in out.items()}
+
+
+def test_misplaced_figures_of_a_hot_owner(spark):
+    rnd = random.Random(5)
+    words = lambda n: " ".join("w" + rnd.choice("abcdefg") + rnd.choice("abcdef") for _ in range(n))
+    owner = lambda: "hot" if rnd.random() < 0.5 else f"r{rnd.randrange(40)}"
+    drafts = [(i, owner(), f"{words(5)} {rnd.randrange(60)}. {words(8)} {rnd.randrange(60)}") for i in range(300)]
+    drafts += drafts[:20] + [(k, owner(), t) for k, _, t in drafts[20:40]]  # repeats, and drafts of two owners
+    chunks = [(owner(), f"c{i}", f"{words(9)} {rnd.randrange(60)}") for i in range(200)]
+    chunks += [(r, c, f"{words(9)} {rnd.randrange(60)}") for r, c, _ in chunks[:60]]  # ids that two rows have
+    d, c = spark.createDataFrame(drafts, "id long, r string, t string"), spark.createDataFrame(chunks, "r string, c string, ct string")
+    want = _misplaced(drafts, chunks)
+    assert len(want) > 50
+    for limits in ({}, {"held": 30, "busy": 20, "helpers": 3}):
+        out = quality.misattributed(d, c, "id", "t", "r", "c", "ct", **limits)
+        assert {tuple(x) for x in out.collect()} == want and out.count() == len(want)
+    # texts move once, pairs never: the shuffles are the owner's, the sentence's and the figure's, and the counts of hot owners
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") < 5

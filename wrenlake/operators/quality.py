@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenlake.functions.text import let, ngrams, numbers_in, sentences
-from wrenlake.operators.skew import salted_join, spread_join
+from wrenlake.operators.skew import salted_join
 
 # Words that carry no identity, so that sharing them tells nothing.
 COMMON = tuple(
@@ -93,29 +96,114 @@ def repeated_figures(messages: DataFrame, thread: str, order: list[str], key: st
     return later.groupBy(key).agg(F.sum("n").alias("figures"))
 
 
-def misattributed(drafts: DataFrame, chunks: DataFrame, key: str, text: str, owner: str, chunk_id: str, chunk_text: str) -> DataFrame:
+class _Held:
+    """The chunks of an owner, or a block of them, by their words and figures."""
+
+    def __init__(self, many: bool):
+        self.rows: list[tuple] = []
+        self.many, self.ready = many, False
+
+    def add(self, chunk, words: str | None, figures: str | None) -> None:
+        self.rows.append((chunk, words.split() if words else [], figures.split() if figures else []))
+
+    def _index(self) -> None:
+        self.rows.sort(key=lambda r: (r[0] is None, r[0]))  # the first of equal counts has the smallest id
+        self.ids = [r[0] for r in self.rows]
+        self.many = self.many or len(self.rows) > 1
+        places: dict[str, list[int]] = {}
+        figures: dict[str, list[int]] = {}
+        for i, (_, ws, ns) in enumerate(self.rows):
+            for w in ws:
+                places.setdefault(w, []).append(i)
+            for n in ns:
+                figures.setdefault(n, []).append(i)
+        self.small = len(self.rows) <= 32
+        self.places = places if self.small else {w: np.array(at, "i4") for w, at in places.items()}
+        self.figures = figures
+        self.rows, self.ready = [], True
+
+    def fit(self, words: str, figures: str):
+        """(shared, best, [(figure, shared by chunks that have it, the best one's id where it has it)]), None where this tells nothing."""
+        if not self.ready:
+            self._index()
+        if not self.many or not self.ids:
+            return None
+        known = [at for at in map(self.places.get, words.split()) if at is not None]
+        if self.small:
+            shared = [0] * len(self.ids)
+            for at in known:
+                for i in at:
+                    shared[i] += 1
+            top = max(shared)
+            first = shared.index(top)
+        else:
+            shared = np.bincount(np.concatenate(known), minlength=len(self.ids)) if known else np.zeros(len(self.ids), int)
+            first = int(shared.argmax())
+            top = int(shared[first])
+        best = self.ids[first]
+        of = [(n, max(int(shared[i]) for i in at), best if any(self.ids[i] == best for i in at) else None) for n in figures.split() if (at := self.figures.get(n))]
+        return (top, best, of) if of or top >= 2 else None
+
+
+def misattributed(drafts: DataFrame, chunks: DataFrame, key: str, text: str, owner: str, chunk_id: str, chunk_text: str, held: int = 32_768, busy: int = 2_000, helpers: int = 16) -> DataFrame:
     """(key, sentence_no, figure, best): figures placed in a sentence that fits another chunk than theirs.
 
     For sentences with a figure and three prose words or more: the chunk that shares most words is the best, the smaller
     id at ties; a figure is misplaced when some chunk has it, the best one has not, the best shares two words or more
     and at least two more than any chunk that has the figure. Each figure of a draft is reported once, at the first
-    such sentence. Owners with one chunk are left out. Sentences and chunks meet on shared words, hot ones spread.
+    such sentence. Owners with one chunk are left out; an id of a chunk belongs to one owner. Repeated drafts change nothing.
+
+    Sentences and chunks move once, to their owner, and are compared there: pairs of them, the square of a hot owner's
+    rows, are never written. A task indexes at most about ``held`` chunks, and sentences stream past them; the
+    sentences of an owner with ``busy`` drafts or more are spread over up to ``helpers`` copies of its chunks.
     """
-    many = chunks.groupBy(owner).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(owner)
-    c = chunks.join(many, owner, "left_semi").select(owner, F.col(chunk_id).alias("chunk"), F.col(chunk_text).alias("_t"))
-    s = drafts.join(many, owner, "left_semi").select(key, owner, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
+    drafts, chunks = drafts.where(F.col(owner).isNotNull() & F.col(key).isNotNull()), chunks.where(F.col(owner).isNotNull())
+    count = lambda df, name: df.groupBy(owner).agg(F.count(F.lit(1)).alias(name))
+    # only owners of very many rows, so that the list is short
+    hot = count(chunks, "_c").where(F.col("_c") > held).join(count(drafts, "_d").where(F.col("_d") >= busy), owner, "full")
+    hot = F.broadcast(hot.select(owner, F.ceil(F.col("_c") / held).alias("_blocks"), F.least(F.lit(helpers), F.ceil(F.col("_d") / busy)).alias("_salts")))
+    parted = lambda df: df.join(hot, owner, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)).cast("int")).withColumn("_salts", F.coalesce("_salts", F.lit(1)).cast("int"))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+
+    s = drafts.select(key, owner, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
     s = s.select(key, owner, "sentence_no", F.array_distinct(prose_words(F.col("s"))).alias("sw"), F.array_distinct(numbers_in(F.col("s"))).alias("sn"))
-    s = s.where((F.size("sn") > 0) & (F.size("sw") >= 3))
+    s = parted(s.where((F.size("sn") > 0) & (F.size("sw") >= 3)))
+    kinds = dict(drafts.dtypes)[key], dict(chunks.dtypes)[chunk_id]
+    s = s.withColumn("_block", F.explode(every("_blocks"))).select(
+        owner, (F.col("_block") * helpers + one_of(key, "_salts")).alias("_part"), "_blocks", F.lit(1).alias("_side"), key, "sentence_no", F.lit(None).cast(kinds[1]).alias("chunk"), F.array_join("sw", " ").alias("words"), F.array_join("sn", " ").alias("figures")
+    )
+    c = chunks.select(owner, F.col(chunk_id).alias("chunk"), F.array_join(F.array_distinct(prose_words(F.col(chunk_text))), " ").alias("words"), F.array_join(F.array_distinct(numbers_in(F.col(chunk_text))), " ").alias("figures"))
+    c = parted(c).withColumn("_salt", F.explode(every("_salts"))).select(
+        owner, (one_of("chunk", "_blocks") * helpers + F.col("_salt")).alias("_part"), "_blocks", F.lit(0).alias("_side"), F.lit(None).cast(kinds[0]).alias(key), F.lit(None).cast("int").alias("sentence_no"), "chunk", "words", "figures"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, of = None, None
+        for b in batches:
+            rows = []
+            for o, part, blocks, side, k, no, name, words, figures in zip(*(x.to_pylist() for x in b.columns)):
+                if (o, part) != at:
+                    at, of = (o, part), _Held(blocks > 1)
+                if side == 0:
+                    of.add(name, words, figures)
+                elif found := of.fit(words, figures):
+                    rows.append((k, no, *found))
+            cols = list(zip(*rows)) or [()] * 5
+            kind = b.schema.field("chunk").type
+            figure = pa.struct([("figure", pa.string()), ("own", pa.int32()), ("held", kind)])
+            of_figures = pa.array([[dict(zip(("figure", "own", "held"), x)) for x in xs] for xs in cols[4]], pa.list_(figure))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(4).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], kind), of_figures], [key, "sentence_no", "top", "best", "of"])
+
+    near = c.unionByName(s).repartition(owner, "_part").sortWithinPartitions(owner, "_part", "_side")
+    fits = near.mapInArrow(compare, f"{key} {kinds[0]}, sentence_no int, top int, best {kinds[1]}, of array<struct<figure: string, own: int, held: {kinds[1]}>>")
+    # blocks of an owner, and owners of one draft, are settled together
     by = [key, "sentence_no"]
-    words = c.select(owner, "chunk", F.explode(F.array_distinct(prose_words(F.col("_t")))).alias("w"))
-    shared = spread_join(s.select(*by, owner, F.explode("sw").alias("w")), words, [owner, "w"], F.col(key)).groupBy(*by, "chunk").agg(F.count(F.lit(1)).alias("shared"))
-    top = shared.groupBy(*by).agg(F.max("shared").alias("top"))
-    best = shared.join(top, by).where("shared = top").groupBy(*by, "top").agg(F.min("chunk").alias("best"))
-    figures = c.select(owner, "chunk", F.explode(F.array_distinct(numbers_in(F.col("_t")))).alias("figure"))
-    held = spread_join(s.select(*by, owner, F.explode("sn").alias("figure")), figures, [owner, "figure"], F.col(key))
-    owners = held.join(shared, [*by, "chunk"], "left").join(best, by)
-    owners = owners.groupBy(*by, "figure", "top", "best").agg(F.max(F.coalesce("shared", F.lit(0))).alias("own"), F.max((F.col("chunk") == F.col("best")).cast("int")).alias("has"))
-    out = owners.where((F.col("has") == 0) & (F.col("top") >= 2) & (F.col("top") - F.col("own") >= 2))
+    best = F.min(F.struct((-F.col("top")).alias("top"), F.col("best").isNull().alias("none"), "best"))
+    each = fits.groupBy(*by).agg(best.alias("m"), F.flatten(F.collect_list("of")).alias("of")).where("m.top <= -2")
+    each = each.select(*by, (-F.col("m.top")).alias("top"), F.col("m.best").alias("best"), F.explode("of").alias("f"))
+    owners = each.groupBy(*by, F.col("f.figure").alias("figure"), "top", "best").agg(F.max("f.own").alias("own"), F.max(F.equal_null("f.held", "best")).alias("has"))
+    out = owners.where(F.col("best").isNotNull() & ~F.col("has") & (F.col("top") - F.col("own") >= 2))
     return out.groupBy(key, "figure").agg(F.min(F.struct("sentence_no", "best")).alias("m")).select(key, "m.sentence_no", "figure", "m.best")
 
 

@@ -84,7 +84,8 @@ q AS (SELECT message_id, sentence_no, figure, best FROM o JOIN b USING (message_
 SELECT message_id, sentence_no::INT AS sentence_no, figure, best FROM q QUALIFY row_number() OVER (PARTITION BY message_id, figure ORDER BY sentence_no, best) = 1""")
 def misplaced_figures(spark, d):
     r = read_table(spark, d, "resumes").select("id", "job_id")
-    m = read_table(spark, d, "messages").select(F.col("id").alias("message_id"), "job_id", "draft_text").distinct().join(r, "job_id").withColumnRenamed("id", "resume_id")
+    # repeated messages stay: they change no row, and their texts needn't move to be compared
+    m = read_table(spark, d, "messages").where("draft_text is not null").select(F.col("id").alias("message_id"), "job_id", "draft_text").join(r, "job_id").withColumnRenamed("id", "resume_id")
     c = read_table(spark, d, "resume_chunks").select("resume_id", F.col("id").alias("chunk_id"), "chunk_text")
     return quality.misattributed(m, c, "message_id", "draft_text", "resume_id", "chunk_id", "chunk_text")
 
